@@ -7,9 +7,11 @@ pigeonhole some chunk differs in at most one of its slots; so each chunk is ente
 that may be wrong, with the other slots as key, and all pairs within that distance share a key. At the
 Jaccard similarity 0.85 a pair lies beyond it with a chance of 3e-6.
 
-Pairs that share a key are confirmed on full sets. Keys of at most BUCKET members give all their pairs. Larger keys
-give each member with one pivot; what components then leave open (keys whose members are in more than
-one component) is settled exactly, by a prefix join on the rarest shingles of those members between components. Nothing is capped.
+Pairs that share a key are confirmed on full sets. Only components are asked for, so a pair within one
+component need not be looked at again. In each of TURNS turns all members of a key meet one of them, a
+pivot. What components then leave open (keys whose members are in more than one component) is settled
+exactly: keys of at most BUCKET members give all their pairs between components; members of larger keys meet in a prefix
+join on their rarest shingles, between components. Nothing is capped.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and stay;
 their component is their own doc_id. Rows with the same doc_id count as one document. Rows without
@@ -32,7 +34,9 @@ from .components import components
 from .textkernel import BLANK, mix, shingle_sets, slices, words
 
 SLOTS, CHUNKS = 32, 8
-BUCKET = 16
+BUCKET, TURNS = 16, 3
+#: Bits of a set's parities.
+BITS = 1024
 _RANDOM = np.random.default_rng(31337)
 _A = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
@@ -92,17 +96,44 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", text_col), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long, keys array<long>")
 
 
+def parities(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each set BITS bits: the parity of the number of its hashes that fall on each bit.
+
+    An element that only one of two sets has changes one bit at most, so two sets differ in at least as many elements as bits.
+    """
+    n = len(starts) - 1
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    out = np.zeros((n, BITS), np.uint8)
+    for at in range(0, n, 512):
+        s, e = starts[at], starts[min(at + 512, n)]
+        count = np.bincount((owner[s:e] - at) * BITS + (x[s:e] % np.uint64(BITS)).astype(np.int64), minlength=min(512, n - at) * BITS)
+        out[at : at + 512] = (count & 1).reshape(-1, BITS)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+_BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(id, set) of the documents in ids; a set is its sorted hashes as bytes."""
+    """(id, n, set, b0, b1, ...) of the documents in ids; a set is its sorted hashes as bytes, and b0, b1, ... are its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, starts, x in sets(batch.column("text"), size):
-                raw = x.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, n), pa.array([raw[8 * s : 8 * e] for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["id", "set"])
+                raw, bits = x.tobytes(), parities(starts, x)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(at, n), pa.array((starts[1:] - starts[:-1]).astype(np.int64)), pa.array([raw[8 * s : 8 * e] for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])],
+                    names=["id", "n", "set", *_BIT_COLUMNS],
+                )
 
     some = docs.select(F.col("doc_id").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return map_arrow(some, run, f"id {docs.schema['doc_id'].dataType.simpleString()}, set binary")
+    return map_arrow(some, run, f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, set binary, {', '.join(f'{c} long' for c in _BIT_COLUMNS)}")
+
+
+def _may_link(x: str, y: str, percent: int) -> str:
+    """SQL: whether two sets, by their sizes and parities, can be similar enough; never false for sets that are."""
+    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _BIT_COLUMNS)
+    return f"{_alike(f'{x}.n', f'{y}.n', percent)} and {100 - percent} * ({x}.n + {y}.n) >= {100 + percent} * ({differ})"
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -122,9 +153,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    left = full.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = full.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}").distinct()
+    bits = full.drop("set")
+    p, x, y = pairs.alias("p"), bits.alias("x"), bits.alias("y")
+    left = p.join(x, F.expr("p.a = x.id")).join(y, F.expr(f"p.b = y.id and {_may_link('x', 'y', percent)}")).select("a", "b").distinct()
+    first, second = full.select(F.col("id").alias("a"), F.col("set").alias("x")), full.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    return map_arrow(left.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}").distinct()
 
 
 def _prefix_pairs(full: DataFrame, component: DataFrame, percent: int) -> DataFrame:
@@ -146,43 +179,73 @@ def _prefix_pairs(full: DataFrame, component: DataFrame, percent: int) -> DataFr
     prefix = rows.join(count.where("df > 1"), "shingle", "left").withColumn("_r", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(1)), "shingle")))
     prefix = prefix.where(f"_r <= n - ceil({percent} * n / 100) + 1 and df is not null").select("id", "component", "n", "shingle")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    some = prefix.join(mixed, "shingle")
+    some = prefix.join(mixed, "shingle").drop("n").join(full.drop("set"), "id")
     x, y = some.alias("x"), some.alias("y")
-    on = F.expr(f"x.shingle = y.shingle and x.id < y.id and x.component <> y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    on = F.expr(f"x.shingle = y.shingle and x.id < y.id and x.component <> y.component and {_may_link('x', 'y', percent)}")
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int = 85, bucket: int = BUCKET) -> DataFrame:
+def _split(entry: DataFrame, part: DataFrame | None) -> DataFrame:
+    """(key, id, n, c, component): the members of keys that are in more than one component."""
+    if part is None:
+        return entry.withColumn("component", F.col("id"))
+    member = entry.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return member.join(split, "key")
+
+
+def _alike(n: str, m: str, percent: int) -> str:
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+
+
+def _pivot_pairs(member: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each member with one member of its key, the same for all of the key, if that is in another component."""
+    pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("p"))
+    df = member.join(pivot.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("other")), "key")
+    df = df.where("component <> other").where(_alike("n", "m", percent))
+    return df.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _all_pairs(member: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components within keys."""
+    x, y = member.alias("x"), member.alias("y")
+    on = F.expr(f"x.key = y.key and x.id < y.id and x.component <> y.component and {_alike('x.n', 'y.n', percent)}")
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int = 85, bucket: int = BUCKET, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     rows = saved(_sketch(docs, text_col, size), "sketch")
     groups = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     groups = saved(groups.where("rep is not null"), "groups")
     # equal rows of one doc_id give the same keys
-    own = rows.join(groups.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"], "left_semi")
-    entry = saved(own.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct(), "entries")
-    seen = entry.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("p")).where("c > 1")
-    entry = entry.join(seen.select("key", "c", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "key")
-    entry = saved(entry, "buckets")
-    alike = lambda n, m: f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-    few = entry.where(F.col("c") <= bucket).select("id", "n", "key")
-    x, y = few.alias("x"), few.alias("y")
-    small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {alike('x.n', 'y.n')}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = entry.where(F.col("c") > bucket).where("id <> pivot").where(alike("n", "pn")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    pairs = saved(small.unionByName(large).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = saved(_full_sets(docs, ids, text_col, size), "sets")
-    links = saved(_confirmed(pairs, full, percent), "confirmed")
-    part = saved(components(links), "components")
-    # the rest: large keys whose members are not in one component yet
-    member = entry.where(F.col("c") > bucket).join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = saved(member.join(split, "key").select("id", "component").distinct(), "rest")
-    if not rest.isEmpty():
-        some = saved(_full_sets(docs, rest.select("id"), text_col, size), "rest-sets")
-        more = saved(_confirmed(saved(_prefix_pairs(some, rest, percent), "rest-pairs"), some, percent), "rest-links")
-        if not more.isEmpty():
-            part = saved(components(links.unionByName(more)), "components")
-    known = groups.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    own = rows.join(groups.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "n", "k1", "k2"])
+    entry = own.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
+    many = entry.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    entry = saved(entry.join(many, "key"), "buckets")
+    full = saved(_full_sets(docs, entry.select("id").distinct(), text_col, size), "sets")
+    links, part = None, None
+    for turn in range(turns):
+        pairs = saved(_pivot_pairs(_split(entry, part), turn, percent), "pairs")
+        found = saved(_confirmed(pairs, full, percent), "confirmed")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        part = saved(components(links), "components")
+    # the rest, exactly: pairs of keys whose members are still in more than one component
+    member = saved(_split(entry, part), "rest")
+    if not member.isEmpty():
+        pairs = _all_pairs(member.where(F.col("c") <= bucket), percent)
+        large = saved(member.where(F.col("c") > bucket).select("id", "component").distinct(), "rest-large")
+        if not large.isEmpty():
+            pairs = pairs.unionByName(_prefix_pairs(full, large, percent)).distinct()
+        found = saved(_confirmed(saved(pairs, "rest-pairs"), full, percent), "rest-links")
+        if not found.isEmpty():
+            part = saved(components(found if links is None else links.unionByName(found)), "components")
+    if part is None:
+        known = groups.select("n", "k1", "k2", F.col("rep").alias("component_id"))
+    else:
+        known = groups.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "k1", "k2").join(known, ["n", "k1", "k2"], "left")
     own_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, own_id.isNull()).alias("kept"))
