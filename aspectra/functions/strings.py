@@ -44,8 +44,8 @@ def ascii_only(text: Column) -> Column:
 
 
 def decoded(data: Column) -> Column:
-    """Bytes as UTF-8, or as Windows-1252 where they are none."""
-    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "windows-1252"))
+    """Bytes as UTF-8, or as ISO 8859-1 where they are none; Spark decodes no Windows code page."""
+    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
 
 
 def idf(total: Column, df: Column) -> Column:

@@ -121,13 +121,14 @@ def orientations(history: DataFrame, seeds: DataFrame, toks: DataFrame, limit: i
     known = seeds.select(F.lit("opinion").alias("kind"), "term", F.col("orientation").cast("double").alias("orientation"))
     rounds = occ.agg(F.max("round").alias("m")).first()["m"] or 0
     for k in range(1, min(rounds, depth) + 1):
-        from_kind = F.when(F.substring("rule", 1, 1).isin("1", "4"), "opinion").otherwise("aspect")
-        step = occ.where(F.col("round") == k).withColumn("from", from_kind).join(known.toDF("from", "origin", "v"), ["from", "origin"])
-        flips = F.when(F.col("rule").startswith("1") | F.col("rule").startswith("2"), (F.col("near") > 0).cast("int")).otherwise(F.col("between") % 2)
-        step = step.withColumn("v", F.col("v") * F.pow(F.lit(-1.0), F.coalesce(flips, F.lit(0))))
-        value = F.max_by("v", F.struct("sent_id", "idx")) if mode == "reference" else F.sum("v")
-        new = step.groupBy("kind", "term").agg(value.alias("orientation")).join(known, ["kind", "term"], "left_anti")
-        known = saved(known.unionByName(new), "known")
+        for phase in (["1", "4"], ["3", "2"]):
+            from_kind = F.when(F.substring("rule", 1, 1).isin("1", "4"), "opinion").otherwise("aspect")
+            step = occ.where((F.col("round") == k) & F.substring("rule", 1, 1).isin(phase)).withColumn("from", from_kind).join(known.toDF("from", "origin", "v"), ["from", "origin"])
+            flips = F.when(F.substring("rule", 1, 1).isin("1", "2"), (F.col("near") > 0).cast("int")).otherwise(F.col("between") % 2)
+            step = step.withColumn("v", F.col("v") * F.pow(F.lit(-1.0), F.coalesce(flips, F.lit(0))))
+            value = F.max_by("v", F.struct("sent_id", "idx")) if mode == "reference" else F.sum("v")
+            new = step.groupBy("kind", "term").agg(value.alias("orientation")).join(known, ["kind", "term"], "left_anti")
+            known = saved(known.unionByName(new), "known")
     return known
 
 
@@ -173,15 +174,15 @@ def phrase_pruning(occ: DataFrame, toks: DataFrame, mode: str = "reference") ->
     return occ.join(gone.distinct(), ["sent_id", "idx"], "left_anti")
 
 
-def cascade(terms: DataFrame, history: DataFrame, gone: DataFrame, mode: str = "reference", most: int = 20) -> DataFrame:
-    """terms (kind, term) without those that only pruned ones (kind, term) had found: one level (reference), or until nothing changes (intended)."""
+def cascade(terms: DataFrame, history: DataFrame, gone: DataFrame, seeds: DataFrame, mode: str = "reference", most: int = 20) -> DataFrame:
+    """terms (kind, term) without those that are gone, and, but for seeds, without those that only pruned ones (kind, term) had found: one level (reference), or until nothing changes (intended)."""
     out = gone.select("kind", "term").distinct()
     for _ in range(1 if mode == "reference" else most):
         source = F.when(F.substring("rule", 1, 1).isin("1", "4"), "opinion").otherwise("aspect")
         h = history.select("kind", "term", source.alias("from"), "origin").distinct()
         left = h.join(out.toDF("from", "origin"), ["from", "origin"], "left_anti").select("kind", "term").distinct()
         lost = h.select("kind", "term").distinct().join(left, ["kind", "term"], "left_anti").join(out, ["kind", "term"], "left_anti")
-        lost = saved(lost, "lost")
+        lost = saved(lost.join(seeds.select("kind", "term"), ["kind", "term"], "left_anti"), "lost")
         if lost.isEmpty():
             break
         out = saved(out.unionByName(lost), "pruned")

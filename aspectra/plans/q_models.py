@@ -135,7 +135,7 @@ def mod2n_intended(t: Tables):
 @query("mod2o_cascade")
 def mod2o(t: Tables):
     terms, history = _propagated(t)
-    return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"))
+    return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"))
 
 
 PHRASES = TERM_OCC + """, points AS (SELECT DISTINCT sent_id, idx AS pos FROM occ),

@@ -47,7 +47,7 @@ def parser_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tokens, deps.select("file", "sentence", "kind", (F.col("e.governor._idx") - 1).alias("head_idx"), F.col("e._type").alias("label"), (F.col("e.dependent._idx") - 1).alias("dep_idx"))
 
 
-SHELL_TOKEN = r"\[Text=(\S+) CharacterOffsetBegin=(\d+) CharacterOffsetEnd=(\d+) PartOfSpeech=(\S+)(?: Lemma=(\S+))?[^\]]*\]"
+SHELL_TOKEN = r"\[Text=(\S+) CharacterOffsetBegin=(\d+) CharacterOffsetEnd=(\d+) PartOfSpeech=([^\s\]]+)(?: Lemma=([^\s\]]+))?[^\]]*\]"
 
 
 def shell_text(replies: DataFrame) -> DataFrame:
