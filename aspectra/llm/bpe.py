@@ -28,7 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, with_fields
 
 BASE_BYTES = 16
 #: Entries of a worker's table of encoded runs; a full one is kept as the older table, and the one before goes.
@@ -193,19 +193,11 @@ def _ship(df: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _kept(df: DataFrame, added: str) -> tuple[DataFrame, str]:
-    names = {x.split()[0] for x in added.split(",")}
-    df = df.select([c for c in df.columns if c not in names])
-    kept = df.schema.simpleString()[len("struct<") : -1]
-    return df, f"{kept},{added}" if kept else added
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_tokens and ids (array<int>) of the whole text; without the text if keep_text is false."""
     name = _ship(docs, vocabulary)
-    df, schema = _kept(docs, "n_tokens long,ids array<int>")
-    if not keep_text:
-        schema = df.drop(text_col).schema.simpleString()[len("struct<") : -1] + ",n_tokens long,ids array<int>"
+    df = docs.drop("n_tokens", "ids")
+    schema = with_fields(df, "n_tokens long, ids array<int>", () if keep_text else (text_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = worker_encoder(name, pattern)
@@ -222,7 +214,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 def decode(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """docs with `bytes`, what the ids stand for."""
     name = _ship(docs, vocabulary)
-    df, schema = _kept(docs, "bytes binary")
+    df = docs.drop("bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = worker_encoder(name, pattern)
@@ -230,15 +222,14 @@ def decode(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids")
             out = [e.decode(i or []) for i in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, with_fields(df, "bytes binary"))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs, without the text, with n_tokens, ids_sha256 and decoded_sha256: encodes and decodes without moving ids."""
     name = _ship(docs, vocabulary)
-    added = "n_tokens long,ids_sha256 string,decoded_sha256 string"
-    df, _ = _kept(docs, added)
-    schema = ",".join(x for x in (df.drop(text_col).schema.simpleString()[len("struct<") : -1], added) if x)
+    df = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
+    schema = with_fields(df, "n_tokens long, ids_sha256 string, decoded_sha256 string", (text_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = worker_encoder(name, pattern)

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A safe upper bound of rows in one Arrow batch: whole texts are moved, and a text can have 100 KB.
 ARROW_ROWS = 2000
@@ -63,7 +64,12 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_fields(df: DataFrame, ddl: str, without: tuple[str, ...] = ()) -> StructType:
+    """The schema of df, without some columns, and with those of a DDL string behind."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(ddl).fields)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """mapInArrow over batches of bounded size."""
     ship_package(df.sparkSession)
     small_batches(df.sparkSession)
@@ -81,18 +87,18 @@ def crc_part(doc_id: Column, n: int) -> Column:
 
 
 def learning_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of every label value, chosen by a hash of doc_id: (doc_id, label).
+    """At most `most` rows of every label value, those of the smallest hashes of doc_id: (doc_id, label).
 
-    Only narrow columns are read and shuffled. The window keeps `most` rows of a label on each
-    task before it shuffles, so a label that most rows have does not gather in one task.
+    Only narrow columns are read and shuffled. Labels are counted first; of a label with many more rows only those whose hash
+    is below its share (four times what is wanted) come to the window, so that a common label does not gather in one task.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    return (
-        docs.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
-    )
+    rows = docs.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
+    share = rows.groupBy(label).agg((F.least(F.lit(1.0), F.lit(4.0 * most) / F.count("*")) * 2.0**64 - 2.0**63).alias("_most"))
+    w = Window.partitionBy(label).orderBy("_h", "doc_id")
+    low = rows.join(share, label).where(F.col("_h") <= F.col("_most"))
+    return low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("doc_id", label)
 
 
 def as_binary(column: pa.Array) -> pa.Array:

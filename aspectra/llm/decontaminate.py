@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, map_arrow
+from .common import as_binary, map_arrow, with_fields
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -34,7 +34,7 @@ _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or
 _WORD = re.compile(rb"[^ ]+")
 _built: dict[str, ahocorasick.Automaton] = {}
 
-CARRIED = "_runs array<struct<start:int,end:int>>, _items array<string>"
+CARRIED = "__aspectra_runs array<struct<start:int,end:int>>, __aspectra_items array<string>"
 ADDED_NAMES = ["n_words", "n_hit", "items", "hit_spans"]
 ADDED = "n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,end:int>>"
 
@@ -127,14 +127,14 @@ def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids whose windows occur) and hit_spans (code points, end exclusive)."""
-    df = docs.select([c for c in docs.columns if c not in ADDED_NAMES])
-    kept = df.schema.simpleString()[len("struct<") : -1]
+    df = docs.drop(*ADDED_NAMES)
+    base = df
     sc = docs.sparkSession.sparkContext
     ahead = parts(benchmark, part_bytes=part_bytes)
     part, first = next(ahead), True
     while part is not None:
         following = next(ahead, None)
-        df = map_arrow(df, _scanner(sc.broadcast(part), uuid.uuid4().hex, text_col, window, first, following is None), f"{kept},{ADDED if following is None else CARRIED}")
+        df = map_arrow(df, _scanner(sc.broadcast(part), uuid.uuid4().hex, text_col, window, first, following is None), with_fields(base, ADDED if following is None else CARRIED))
         part, first = following, False
     return df
 
@@ -149,9 +149,9 @@ def _scanner(held, key: str, text_col: str, window: int, first: bool, last: bool
             found = [scan(t, _built[key]) for t in texts]
             runs, items = [x[1] for x in found], [sorted(x[2]) for x in found]
             if not first:
-                runs = [_merged(r, [(x["start"], x["end"]) for x in o]) for r, o in zip(runs, batch.column("_runs").to_pylist(), strict=True)]
-                items = [sorted({*i, *o}) for i, o in zip(items, batch.column("_items").to_pylist(), strict=True)]
-            kept = [n for n in batch.schema.names if n not in ("_runs", "_items")]
+                runs = [_merged(r, [(x["start"], x["end"]) for x in o]) for r, o in zip(runs, batch.column("__aspectra_runs").to_pylist(), strict=True)]
+                items = [sorted({*i, *o}) for i, o in zip(items, batch.column("__aspectra_items").to_pylist(), strict=True)]
+            kept = [n for n in batch.schema.names if n not in ("__aspectra_runs", "__aspectra_items")]
             columns = [batch.column(n) for n in kept]
             ids = pa.array(items, pa.list_(pa.string()))
             pairs = [spans(t, r) for t, r in zip(texts, runs, strict=True)] if last else runs
@@ -161,7 +161,7 @@ def _scanner(held, key: str, text_col: str, window: int, first: bool, last: bool
                 kept += ADDED_NAMES
             else:
                 columns += [pairs, ids]
-                kept += ["_runs", "_items"]
+                kept += ["__aspectra_runs", "__aspectra_items"]
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     return run

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learning_rows, map_arrow, saved
+from .common import learning_rows, map_arrow, saved, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are learned from, at most.
@@ -191,13 +191,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, the calibrated probability of that language."""
-    df = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
+    df = docs.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     # size: BUCKETS * LEARN_LANGUAGES floats at most, 26 MB
     held = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    df = df.withColumn("_letters", letters)
+    df = df.withColumn("__aspectra_letters", letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -211,11 +211,10 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     z[at : at + len(texts), k] = np.bincount(g.doc, weights=w[g.bucket], minlength=len(texts)) / many
             p = _softmax(z / m.temperature)
             best = p.argmax(1)
-            ok = batch.column("_letters").to_numpy(zero_copy_only=False)
+            ok = batch.column("__aspectra_letters").to_numpy(zero_copy_only=False)
             lang = [m.languages[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]
             score = np.where(ok, p[np.arange(len(p)), best], 0.0)
-            names = [n for n in batch.schema.names if n != "_letters"]
+            names = [n for n in batch.schema.names if n != "__aspectra_letters"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    schema = df.drop("_letters").schema.simpleString()[len("struct<") : -1]
-    return map_arrow(df, run, f"{schema},lang_pred string,score double")
+    return map_arrow(df, run, with_fields(df, "lang_pred string, score double", ("__aspectra_letters",)))

@@ -102,18 +102,18 @@ def _generalised(lines: DataFrame, single: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text without its recurring lines, n_lines (before) and n_dropped."""
-    df = docs.select([c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    df = docs.drop("n_lines", "n_dropped")
     lines = saved(_lines(df, text_col), "lines")
     stats = saved(lines.groupBy("leaf", "template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n")), "templates")
     exact = stats.where("first <> last").select("template", "first")
     single = stats.where(F.col("n") >= GENERAL_TOKENS).where("first = last").select("leaf", "template", "first")
     recurring = exact.unionByName(_generalised(lines, single))
-    dropped = lines.select("doc", "line", "template").join(recurring, "template").where("doc <> first").groupBy("doc").agg(F.collect_set("line").alias("_drop"))
+    dropped = lines.select("doc", "line", "template").join(recurring, "template").where("doc <> first").groupBy("doc").agg(F.collect_set("line").alias("__aspectra_drop"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    out = df.withColumn("_doc", key).join(dropped.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    out = df.withColumn("__aspectra_doc", key).join(dropped.withColumnRenamed("doc", "__aspectra_doc"), "__aspectra_doc", "left").drop("__aspectra_doc")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_drop", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__aspectra_drop", i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).drop("_drop")
-    return out.select(*df.columns, "n_lines", "n_dropped")
+    out = out.withColumn("n_dropped", F.coalesce(F.size("__aspectra_drop"), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("__aspectra_drop").isNull(), F.col(text_col)).otherwise(kept)).drop("__aspectra_drop")
+    return out

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, learning_rows, map_arrow, saved
+from .common import as_binary, learning_rows, map_arrow, saved, with_fields
 
 LEARN_ROWS = 1500
 #: Bytes of one text that the dictionaries are built from, at most, so that a few long texts don't fill them.
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.min(label_col).alias("_label"))
     known = docs.where(F.col(text_col).isNotNull()).select("doc_id").distinct()
     ids = saved(learning_rows(one.join(known, "doc_id", "left_semi"), "_label", learn_rows), "quality-sample")
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "_label", F.col(text_col).cast("binary").alias("t")).where("t is not null").collect()
+    rows = docs.select("doc_id", F.col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "_label", "t").where("t is not null").collect()
     rows = sorted(rows, key=lambda r: (r.h, bytes(r.t)))
     texts = {y: [bytes(r.t) for r in rows if r["_label"] == y and r.h % 3] for y in (0, 1)}
     held = [(bytes(r.t), r["_label"]) for r in rows if r.h % 3 == 0]
@@ -109,8 +109,7 @@ _scorers: dict[bytes, Scorer] = {}
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from the threshold on)."""
-    df = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
-    out = df if keep_text else df.drop(text_col)
+    df = docs.drop("score", "predicted")
     # size: two dictionaries of DICTIONARY_BYTES
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
@@ -123,5 +122,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
             names = [n for n in batch.schema.names if keep_text or n != text_col]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = out.schema.simpleString()[len("struct<") : -1]
-    return map_arrow(df, run, f"{schema},score double,predicted int")
+    return map_arrow(df, run, with_fields(df, "score double, predicted int", () if keep_text else (text_col,)))

@@ -140,19 +140,19 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model | None = None, url_c
 
     Without a model, the trees are trained on the URLs of pages that rules decide.
     """
-    df = pages.select([c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")])
+    df = pages.drop("host", "path", "rule", "verdict", "score")
     own = df.columns
     df = df.withColumn("host", F.coalesce(host(F.col(url_col)), F.lit(""))).withColumn("path", F.coalesce(path(F.col(url_col)), F.lit("")))
     rule, verdict = first_rule(rules, F.col("host"), F.col("path"))
-    df = df.withColumn("rule", rule).withColumn("_ruled", verdict)
+    df = df.withColumn("rule", rule).withColumn("__aspectra_ruled", verdict)
     if model is None:
-        model = train(df.where("rule is not null").select(F.col(url_col).alias("url"), (F.col("_ruled") == "block").cast("int").alias("label")))
+        model = train(df.where("rule is not null").select(F.col(url_col).alias("url"), (F.col("__aspectra_ruled") == "block").cast("int").alias("label")))
     if model.score is None:
-        return df.select(*own, "host", "path", "rule", F.coalesce("_ruled", F.lit(model.constant)).alias("verdict"), F.lit(None).cast("double").alias("score"))
+        return df.withColumn("verdict", F.coalesce("__aspectra_ruled", F.lit(model.constant))).withColumn("score", F.lit(None).cast("double")).drop("__aspectra_ruled")
     names = {c: f"_own_{i}" for i, c in enumerate(own)}  # so that no column of the input clashes with a feature
-    df = df.select(*(F.col(c).alias(names[c]) for c in own), "host", "path", "rule", "_ruled")
+    df = df.select(*(F.col(f"`{c}`").alias(names[c]) for c in own), "host", "path", "rule", "__aspectra_ruled")
     df = lexical(df, names[url_col]).join(F.broadcast(model.suffixes), "bucket", "left").fillna({"f_suffix": model.prior})
-    score = F.when(F.col("_ruled").isNull(), model.score)
+    score = F.when(F.col("__aspectra_ruled").isNull(), model.score)
     df = df.withColumn("_score", score)
     trees = F.when(F.col("_score") > 0, "block").otherwise("allow")
-    return df.select(*(F.col(n).alias(c) for c, n in names.items()), "host", "path", "rule", F.coalesce("_ruled", trees).alias("verdict"), F.col("_score").alias("score"))
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()), "host", "path", "rule", F.coalesce("__aspectra_ruled", trees).alias("verdict"), F.col("_score").alias("score"))
