@@ -16,33 +16,48 @@ from pyspark.sql import functions as F
 
 #: Texts whose language is less certain than this are rejected, as are those without any letter.
 LEAST_CERTAINTY = 0.3
+REST = "__aspectra_rest"
+
+
+def _sealed(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that a stage uses, and the others in one, so that none clashes with what the stage adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(None)).alias(REST))
+
+
+def _opened(df: DataFrame, docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return df.select(*(F.col(c) if c in used else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told."""
-    model = langid.train(docs.where(F.coalesce(crc_part(F.col("doc_id"), 4) != 2, F.lit(False))))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(docs.columns)
+    used = ("doc_id", "text", "lang")
+    model = langid.train(docs.select(*used).where(F.coalesce(crc_part(F.col("doc_id"), 4) != 2, F.lit(False))))
+    found = langid.predict(_sealed(docs, *used), model)
+    return _opened(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)), docs, used)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of texts; drops documents of which nothing is left."""
-    found = linededup.drop_lines(docs)
-    kept = found.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    used = ("doc_id", "text", "n_chars")
+    found = linededup.drop_lines(_sealed(docs, *used))
+    kept = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return _opened(kept, docs, used)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that with the smallest doc_id."""
-    found = neardup.classes(docs)
+    """Keeps one document of each class: that with the smallest doc_id. Rows without doc_id stay."""
+    found = neardup.classes(docs.select("doc_id", "text"))
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(docs.columns)
+    found = decontaminate.decontaminate(_sealed(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return _opened(found.where("n_hit = 0"), docs, ("text",))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
