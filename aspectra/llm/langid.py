@@ -22,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learning_rows, map_arrow, saved, with_fields
+from .common import LABELS, learning_rows, map_arrow, saved, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are learned from, at most.
 LEARN_ROWS = 500
-#: Languages that can be learned, at most: those with most documents.
-LEARN_LANGUAGES = 200
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 UNDETERMINED = "und"
 _BLANK = 32
 _ASCII = np.array([c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else _BLANK for c in range(128)], np.uint32)
@@ -86,7 +84,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndar
         for batch in batches:
             for _, texts in parts(batch.column(0).to_pylist()):
                 g = grams(texts)
-                pairs = np.zeros((len(texts), BUCKETS), bool) if len(texts) * BUCKETS <= 1 << 23 else None
+                pairs = np.zeros((len(texts), BUCKETS), bool) if len(texts) * BUCKETS <= 1 << 21 else None
                 if pairs is not None:
                     pairs[g.doc, g.bucket] = True
                     df[:-1] += pairs.sum(0)
@@ -160,7 +158,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
     Document frequencies cover all these rows; the weights are fitted on a bounded sample of them.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LEARN_LANGUAGES).collect()]
+    top = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LABELS).collect()]
     languages = sorted(top)
     if not languages:
         return None
@@ -194,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     df = docs.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
-    # size: BUCKETS * LEARN_LANGUAGES floats at most, 26 MB
+    # size: BUCKETS * LABELS floats at most, 26 MB
     held = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     df = df.withColumn("__aspectra_letters", letters)
