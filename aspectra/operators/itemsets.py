@@ -66,6 +66,13 @@ def compact_counts(occ: DataFrame, places: DataFrame) -> DataFrame:
     return flag.groupBy("set_id").agg(F.count_if((F.size("items") == 1) | F.col("_c").isNotNull()).alias("compact"))
 
 
+def flags(sets: DataFrame, occ: DataFrame, places: DataFrame) -> DataFrame:
+    """(set_id, is_compound, is_fuzzy, is_compact): several items; several spellings (`variants`, if sets have that column); compact in some sentence."""
+    fuzzy = F.size("variants") > 1 if "variants" in sets.columns else F.lit(False)
+    df = sets.join(compact_counts(occ, places), "set_id", "left")
+    return df.select("set_id", (F.size("items") > 1).alias("is_compound"), fuzzy.alias("is_fuzzy"), (F.coalesce("compact", F.lit(0)) > 0).alias("is_compact"))
+
+
 def _drop(sets: DataFrame, bad: DataFrame, mode: str) -> DataFrame:
     """sets without the bad ones. In reference mode, of bad sets in a row (by set_id) every second one stays, as the list shrinks under its reader."""
     if mode == "intended":

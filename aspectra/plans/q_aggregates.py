@@ -81,6 +81,11 @@ def agg5(t: Tables):
     return itemsets.compact_counts(occ, places).where("compact >= 2")
 
 
+@query("flt15_aspect_flags", f"WITH {COMPACT} SELECT s.set_id, len(items) > 1 AS is_compound, false AS is_fuzzy, coalesce(compact, 0) > 0 AS is_compact FROM sets s LEFT JOIN compact USING (set_id)")
+def flt15(t: Tables):
+    return itemsets.flags(*_places(t))
+
+
 @query("agg6_ngram_groups", """WITH n AS (SELECT lower(word) AS a, word AS w, lead(lower(word)) OVER s AS b, lead(word) OVER s AS v FROM toks WINDOW s AS (PARTITION BY sent_id ORDER BY idx))
 SELECT a || ' ' || b AS string, count(*) AS freq, count(DISTINCT w || ' ' || v) AS surfaces FROM n WHERE b IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def agg6(t: Tables):

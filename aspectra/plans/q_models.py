@@ -192,7 +192,16 @@ def mod3a(t: Tables):
     return align.model1(_align_pairs(t)).where("f <> '' and c > 1").select("e", "f", F.round("c", 9).alias("c"))
 
 
-@query("mod3b_model2")
+PASS2 = """, t{n} AS (SELECT f, sum(c) AS total FROM c{m} GROUP BY 1), q{n} AS (SELECT i, j, l, c / sum(c) OVER (PARTITION BY j, l) AS q FROM a{m}),
+v{n} AS (SELECT pl.sent_id, pl.j, pl.e, pl.i, pl.f, pl.l, k * c / total * q AS v FROM pl JOIN c{m} c ON c.e = pl.e AND c.f = pl.f JOIN t{n} t ON t.f = pl.f JOIN q{n} q ON q.i = pl.i AND q.j = pl.j AND q.l = pl.l WHERE k > 0),
+p{n} AS (SELECT *, v / sum(v) OVER (PARTITION BY sent_id, j) AS p FROM v{n})"""
+MODEL2 = ALIGN + STEP.format(n=1, m=0) + STEP.format(n=2, m=1) + """, sz AS (SELECT sent_id, count(*)::INT AS l FROM w GROUP BY 1), pl AS (SELECT p.*, l FROM pairs p JOIN sz USING (sent_id)),
+a2 AS (SELECT i, j, l, sum(p) AS c FROM p2 JOIN sz USING (sent_id) GROUP BY ALL)""" + PASS2.format(n=3, m=2) + """, g3 AS (SELECT e, f, sum(p) AS p FROM p3 GROUP BY ALL),
+c3 AS (SELECT c.e, c.f, c.c + coalesce(p, 0) AS c FROM c2 c LEFT JOIN g3 g ON g.e = c.e AND g.f = c.f),
+a3 AS (SELECT i, j, l, sum(c) AS c FROM (SELECT * FROM a2 UNION ALL SELECT i, j, l, sum(p) FROM p3 GROUP BY ALL) GROUP BY ALL)""" + PASS2.format(n=4, m=3)
+
+
+@query("mod3b_model2", f"WITH {MODEL2} SELECT sent_id, j, e, i, f FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, j ORDER BY round(p, 9) DESC, i) AS n FROM p4) WHERE n = 1")
 def mod3b(t: Tables):
     pair = _align_pairs(t)
     words, places = align.model2(pair, align.model1(pair, 1), 2)
