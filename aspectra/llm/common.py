@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 #: A safe upper bound of rows in one Arrow batch: whole texts are moved, and a text can have 100 KB.
 ARROW_ROWS = 2000
 
+#: Label values that are learned, at most.
+LABELS = 200
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -87,7 +89,7 @@ def crc_part(doc_id: Column, n: int) -> Column:
 
 
 def learning_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of every label value, those of the smallest hashes of doc_id: (doc_id, label).
+    """At most `most` rows of every label value (of the LABELS most common ones), those of the smallest hashes of doc_id: (doc_id, label).
 
     Only narrow columns are read and shuffled. Labels are counted first; of a label with many more rows only those whose hash
     is below its share (four times what is wanted) come to the window, so that a common label does not gather in one task.
@@ -95,7 +97,8 @@ def learning_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
     from pyspark.sql import Window
 
     rows = docs.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
-    share = rows.groupBy(label).agg((F.least(F.lit(1.0), F.lit(4.0 * most) / F.count("*")) * 2.0**64 - 2.0**63).alias("_most"))
+    count = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(LABELS)
+    share = F.broadcast(count.select(label, (F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("_c")) * 2.0**64 - 2.0**63).alias("_most")))  # LABELS rows
     w = Window.partitionBy(label).orderBy("_h", "doc_id")
     low = rows.join(share, label).where(F.col("_h") <= F.col("_most"))
     return low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("doc_id", label)
