@@ -3,7 +3,8 @@
 A line goes down a tree of fixed depth: by its number of tokens, then by its LEADING first tokens, to a
 leaf; tokens with a digit count as variable from the start. Within a leaf, two kinds of templates recur:
 
-* lines that are equal but for tokens with digits, in at least MIN_DOCS documents;
+* lines that are equal but for tokens with digits, in at least two documents; where more than half of the tokens have
+  digits, lines that are equal altogether;
 * lines of at least GENERAL_TOKENS tokens that are equal but for other variable fields: a token at a place is
   constant if at least GENERAL_LINES different lines of the leaf have it there; a template whose constant
   share is at least CONSTANT and that as many lines of different documents share recurs.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, saved
 from .textkernel import BLANK, mix, slices, words
 
-MIN_TOKENS, MIN_DOCS, LEADING = 4, 2, 3
+MIN_TOKENS, LEADING = 4, 3
 GENERAL_TOKENS, GENERAL_LINES, CONSTANT = 8, 3, 0.8
 _WILD = np.uint64(0x57494C44)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +52,10 @@ def parsed(texts: pa.Array, leading: int = LEADING) -> Iterator[tuple[np.ndarray
         first = np.flatnonzero(np.concatenate([[True], (w.doc[1:] != w.doc[:-1]) | (number[1:] != number[:-1])]))
         n = np.diff(np.append(first, len(h)))
         place = np.arange(len(h)) - np.repeat(first, n)
-        template = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * _ODD), first) + n.astype(np.uint64))
+        seat = place.astype(np.uint64) * _ODD
+        total = lambda x: mix(np.add.reduceat(mix(x + seat), first) + n.astype(np.uint64))  # noqa: B023, E731
+        # a line that is variable for the most part, like a row of figures, is only equal to itself
+        template = np.where(2 * np.add.reduceat((h == _WILD).astype(np.int64), first) <= n, total(h), ~total(w.hash))
         leaf = mix(n.astype(np.uint64))
         for i in range(leading):
             leaf = np.where(n > i, mix(leaf + h[np.minimum(first + i, len(h) - 1)] * _ODD), leaf)
@@ -69,7 +73,10 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
             ids = batch.column("doc")
             for doc, number, n, leaf, template, first, code in parsed(batch.column("text")):
                 raw = code.tobytes()
-                codes = [raw[2 * s : 2 * (s + k)] if k >= GENERAL_TOKENS else None for s, k in zip(first.tolist(), n.tolist(), strict=True)]
+                # a document needs the codes of a template once, however often it repeats it
+                once = np.zeros(len(n), bool)
+                once[np.unique(mix(template.view(np.uint64) + doc.astype(np.uint64) * _ODD), return_index=True)[1]] = True
+                codes = [raw[2 * s : 2 * (s + k)] if o and k >= GENERAL_TOKENS else None for s, k, o in zip(first.tolist(), n.tolist(), once.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(leaf), pa.array(template), pa.array(codes, pa.binary())], names=["doc", "line", "n", "leaf", "template", "codes"])
 
     narrow = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).alias("text"))
