@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from aspectra.functions.lineage import saved
 from aspectra.operators import cvalue, itemsets, joins, text, windows
 from aspectra.plans import evaluate, grid
 from aspectra.plans.q_sources import GOLD
@@ -38,18 +39,18 @@ def _stop(t: Tables):
 
 
 def _sets(t: Tables):
-    items = itemsets.transactions(t.toks, _stop(t))
+    items = saved(itemsets.transactions(t.toks, _stop(t)), "transactions")
     return itemsets.frequent(items, t.sents.count(), 0.2, 2)
 
 
 def _occ(t: Tables):
-    sets = _sets(t)
-    return sets, itemsets.occurrences(sets, t.toks)
+    sets = saved(_sets(t), "itemsets")
+    return sets, saved(itemsets.occurrences(sets, t.toks), "occurrences")
 
 
 def _places(t: Tables):
     sets, occ = _occ(t)
-    return sets, occ, windows.compact_positions(occ, t.toks, 3)
+    return sets, occ, saved(windows.compact_positions(occ, t.toks, 3), "places")
 
 
 @query("agg1_transactions", f"WITH {X} SELECT sent_id, string_agg(item, ' ' ORDER BY item) AS items FROM x GROUP BY 1")

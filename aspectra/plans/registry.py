@@ -13,6 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer partitions than there are cores, as one small file gives, is dealt anew; any larger one is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 class Tables:
     """The tables of a data folder and what the bridge makes of them; each is made when it is asked for."""
 
@@ -24,7 +30,7 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.read("documents")
+        return spread(self.read("documents"))
 
     @cached_property
     def sents(self) -> DataFrame:

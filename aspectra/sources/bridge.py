@@ -49,16 +49,17 @@ def chunk_type(pos: Column) -> Column:
 
 
 def tokens(sents: DataFrame) -> DataFrame:
-    """One row for each word, with part of speech, lemma and chunk tag. Words of a sentence stay in one array until then, so nothing is shuffled."""
-    low = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lower(w).alias("low")))
-    tagged = F.transform(low, lambda t: F.struct(t.word.alias("word"), t.low.alias("low"), pos_tag(t.low).alias("pos")))
-    typed = F.transform(tagged, lambda t: F.struct(t.word.alias("word"), t.low.alias("low"), t.pos.alias("pos"), chunk_type(t.pos).alias("type")))
-    df = sents.withColumn("_t", typed)
-    before = F.transform("_t", lambda t, i: F.when(i > 0, F.get("_t", i - 1)["type"]))
-    iob = F.transform(F.arrays_zip("_t", before.alias("before")), lambda z: F.when(z._t.type.isNull(), "O").when(z.before == z._t.type, F.concat(F.lit("I-"), z._t.type)).otherwise(F.concat(F.lit("B-"), z._t.type)))
-    df = df.select("corpus", "review_id", "sent_id", F.posexplode(F.arrays_zip("_t", iob.alias("iob"))).alias("idx", "z"))
-    word = F.col("z._t.low")
-    return df.select("corpus", "review_id", "sent_id", "idx", F.col("z._t.word").alias("word"), lemma(word).alias("lemma"), F.col("z._t.pos").alias("pos"), F.col("z.iob").alias("iob"))
+    """One row for each word, with part of speech, lemma and chunk tag.
+
+    A word comes with the one before it, so that chunks need no window; all else are plain expressions, which Spark compiles.
+    """
+    df = sents.withColumn("_w", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    both = F.arrays_zip(F.col("_w").alias("word"), F.slice(F.concat(F.array(F.lit(None).cast("string")), "_w"), F.lit(1), F.size("_w")).alias("before"))
+    df = df.select("corpus", "review_id", "sent_id", F.posexplode(both).alias("idx", "z")).select("corpus", "review_id", "sent_id", "idx", F.col("z.word").alias("word"), F.lower("z.word").alias("_low"), F.lower("z.before").alias("_before"))
+    df = df.withColumn("pos", pos_tag(F.col("_low")))
+    type_, before = chunk_type(F.col("pos")), chunk_type(pos_tag(F.col("_before")))
+    iob = F.when(type_.isNull(), "O").when(F.col("_before").isNotNull() & (before == type_), F.concat(F.lit("I-"), type_)).otherwise(F.concat(F.lit("B-"), type_))
+    return df.select("corpus", "review_id", "sent_id", "idx", "word", lemma(F.col("_low")).alias("lemma"), "pos", iob.alias("iob"))
 
 
 def rels(toks: DataFrame) -> DataFrame:
