@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .common import as_binary
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 SLICE_TEXTS = 1 << 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240607)
