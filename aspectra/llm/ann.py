@@ -3,8 +3,9 @@
 Equal vectors are one node (the smallest vec_id, with the smallest ids of its class). Nodes are dealt by hash into shards
 of about SHARD nodes, and each shard has a graph of its own. Building starts from the nearest nodes
 within small blocks and then joins neighbours of neighbours, ROUNDS times: each node meets the neighbours
-of its neighbours, in both directions, and keeps its NEIGHBOURS nearest. Vectors travel as one byte a component there;
-results are scored on the original vectors in double precision.
+of its neighbours, in both directions, and keeps its NEIGHBOURS nearest. Vectors travel as unit vectors in single precision
+there and are compared in double precision, so that near copies keep their order. Equally near neighbours are chosen
+by a hash of the pair: a group of them does not crowd around a few nodes. Searches use the original vectors in double precision.
 
 A search starts from some nodes of a shard and expands the nearest node not yet expanded, STEPS times, for all
 queries of a block at once; it keeps the BEAM nearest. Blocks of queries meet all shards (a stated query set against
@@ -48,15 +49,13 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def _pack(unit: np.ndarray) -> list[bytes]:
-    """Unit vectors as one byte a component, after a 4-byte scale."""
-    scale = np.abs(unit).max(1, keepdims=True) / 127
-    q = np.rint(unit / scale).astype(np.int8)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32)[:, 0], q, strict=True)]
+    """Unit vectors in single precision."""
+    return [r.tobytes() for r in unit.astype(np.float32)]
 
 
 def _unpack(rows: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1)
-    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    v = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))  # rounding moves lengths by more than near copies differ
 
 
 def nodes(vectors: DataFrame, id_col: str, vector_col: str, members: int) -> tuple[DataFrame, DataFrame]:
@@ -97,17 +96,17 @@ def _initial(base: DataFrame) -> DataFrame:
             np.fill_diagonal(s, -9)
             at = np.argpartition(-s, k - 1, 1)[:, :k]
             u = np.repeat(np.arange(len(ids)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["dim"].to_numpy(), k), pa.int32()), pa.array(np.repeat(b["shard"].to_numpy(), k), pa.int32()), pa.array(ids[u]), pa.array(ids[at.ravel()]), pa.array(s[u, at.ravel()].astype(np.float32))], names=["dim", "shard", "u", "v", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["dim"].to_numpy(), k), pa.int32()), pa.array(np.repeat(b["shard"].to_numpy(), k), pa.int32()), pa.array(ids[u]), pa.array(ids[at.ravel()]), pa.array(s[u, at.ravel()])], names=["dim", "shard", "u", "v", "sim"])
 
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = [base.select("dim", "shard", "id", "packed").withColumn("_h", F.xxhash64("id", F.lit(k))).repartitionByRange(n, "dim", "shard", "_h").sortWithinPartitions("dim", "shard", "_h").drop("_h") for k in range(DEALS)]
     # blocks of one deal share no node; several deals tie them together
-    edges = reduce(DataFrame.unionByName, [map_arrow(d, run, "dim int, shard int, u long, v long, sim float") for d in dealt])
+    edges = reduce(DataFrame.unionByName, [map_arrow(d, run, "dim int, shard int, u long, v long, sim double") for d in dealt])
     return _nearest(edges.dropDuplicates(["u", "v"]), "u", NEIGHBOURS)
 
 
 def _nearest(edges: DataFrame, at: str, k: int) -> DataFrame:
-    w = Window.partitionBy(at).orderBy(F.desc("sim"), "v" if at == "u" else "u")
+    w = Window.partitionBy(at).orderBy(F.desc("sim"), F.xxhash64("u", "v"))
     return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
@@ -115,7 +114,7 @@ def _round(graph: DataFrame, base: DataFrame) -> DataFrame:
     """One step of NN-descent: neighbours of a common node meet, and each node keeps its nearest."""
     reverse = _nearest(graph, "v", NEIGHBOURS).select("dim", "shard", F.col("v").alias("u"), F.col("u").alias("v"))
     both = graph.select("dim", "shard", "u", "v").unionByName(reverse).distinct()
-    worst = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("c")).select(F.col("u").alias("v"), F.when(F.col("c") >= NEIGHBOURS, F.col("least")).otherwise(-9.0).cast("float").alias("least"))
+    worst = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("c")).select(F.col("u").alias("v"), F.when(F.col("c") >= NEIGHBOURS, F.col("least")).otherwise(-9.0).alias("least"))
     known = base.select(F.col("id").alias("v"), "packed").join(worst, "v", "left")
     meet = both.join(known, "v").groupBy("dim", "shard", "u").agg(F.collect_list(F.struct("v", "packed", "least")).alias("near"))
 
@@ -126,16 +125,16 @@ def _round(graph: DataFrame, base: DataFrame) -> DataFrame:
                 if len(near) < 2:
                     continue
                 ids = np.array([x["v"] for x in near])
-                least = np.array([-9.0 if x["least"] is None else x["least"] for x in near], np.float32)
+                least = np.array([-9.0 if x["least"] is None else x["least"] for x in near])
                 x = _unpack([x["packed"] for x in near])
                 s = x @ x.T
                 np.fill_diagonal(s, -9)
                 i, j = np.nonzero(s > least[:, None])
-                out.append((np.full(len(i), dim, np.int32), np.full(len(i), shard, np.int32), ids[i], ids[j], s[i, j].astype(np.float32)))
+                out.append((np.full(len(i), dim, np.int32), np.full(len(i), shard, np.int32), ids[i], ids[j], s[i, j]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["dim", "shard", "u", "v", "sim"])
 
-    better = map_arrow(meet, run, "dim int, shard int, u long, v long, sim float")
+    better = map_arrow(meet, run, "dim int, shard int, u long, v long, sim double")
     merged = graph.unionByName(better).groupBy("dim", "shard", "u", "v").agg(F.max("sim").alias("sim"))
     return _nearest(merged, "u", NEIGHBOURS)
 
@@ -183,7 +182,7 @@ def greedy(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int = BEAM, ste
     seen = np.zeros((m, n + 1), bool)  # the last column stands for -1
     seen[:, start] = seen[:, n] = True
     at = np.full((m, beam), -1)
-    sim = np.full((m, beam), -9.0, np.float32)
+    sim = np.full((m, beam), -9.0)
     done = np.ones((m, beam), bool)
     k = min(len(start), beam)
     at[:, :k], sim[:, :k], done[:, :k] = start[:k], (q @ x[start[:k]].T), False
@@ -198,7 +197,7 @@ def greedy(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int = BEAM, ste
         fresh = np.where(going[:, None], near[at[rows, best]], -1)
         fresh = np.where(np.take_along_axis(seen, fresh, 1), -1, fresh)
         np.put_along_axis(seen, fresh, True, 1)
-        s = np.where(fresh < 0, -9.0, np.einsum("mkd,md->mk", x[fresh], q)).astype(np.float32)
+        s = np.where(fresh < 0, -9.0, np.einsum("mkd,md->mk", x[fresh], q))
         sim, at, done = np.concatenate([sim, s], 1), np.concatenate([at, fresh], 1), np.concatenate([done, fresh < 0], 1)
         top = np.argpartition(-sim, beam - 1, 1)[:, :beam]
         sim, at, done = (np.take_along_axis(a, top, 1) for a in (sim, at, done))
@@ -228,7 +227,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             if v is not None:
                 near[i, : len(v)] = np.searchsorted(ids, np.sort(v)[: 2 * NEIGHBOURS])
         raw, asked_raw = np.array(data["vector"].tolist(), np.float64), np.array(ask["vector"].tolist(), np.float64)
-        x, q = _unit(data["vector"].tolist()).astype(np.float32), _unit(ask["vector"].tolist()).astype(np.float32)
+        x, q = _unit(data["vector"].tolist()), _unit(ask["vector"].tolist())
         out = []
         for begin in range(0, len(q), 512):
             at, sim = greedy(x, near, q[begin : begin + 512])

@@ -174,6 +174,25 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in got] == [0, 1, 3, 4, 5] and all(r.score == pytest.approx(1) for r in got)
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-4])
+def test_neighbours_within_a_group_of_near_copies(spark, noise):
+    rnd = np.random.default_rng(3)
+    one = rnd.normal(size=64)
+    rows = [(i, (one + noise * rnd.normal(size=64) if i % 3 == 0 else rnd.normal(size=64)).tolist()) for i in range(3000)]
+    asked = [i for i in range(0, 3000, 25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(ann.build(df), df.where("vec_id % 25 = 0")).collect():
+        got[r.query_id].append(r.vec_id)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # differences, as products of near copies have few digits left
+    want = {q: set([int(j) for j in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if j != q][:5]) for q in asked}
+    hot = np.mean([len(set(got[q]) & want[q]) / 5 for q in asked if q % 3 == 0])
+    cold = np.mean([len(set(got[q]) & want[q]) / 5 for q in asked if q % 3])
+    assert hot >= 0.9 and cold >= 0.9, (hot, cold)
+
+
 # secrets
 
 
