@@ -10,7 +10,8 @@ leaf; tokens with a digit count as variable from the start. Within a leaf, two k
   share is at least CONSTANT and that as many lines of different documents share recurs.
 
 Lines of recurring templates are dropped, but for those of the first document (smallest doc_id) that has the
-template: nothing is lost that is not said elsewhere. Lines under MIN_TOKENS tokens are never dropped.
+template: nothing is lost that is not said elsewhere. Lines under MIN_TOKENS tokens recur only if they are equal
+altogether, and only if drop_lines is asked for short lines; else they are never dropped.
 
 Leaves are never gathered: counts and minima are aggregated before shuffles, and lines meet them in joins.
 
@@ -39,8 +40,8 @@ _DIGIT = np.array([48 <= b <= 57 for b in range(256)], np.int64)
 _NEWLINE = np.array([b == 10 for b in range(256)], np.int64)
 
 
-def parsed(texts: pa.Array, leading: int = LEADING) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of texts, of each line of at least MIN_TOKENS tokens: (text, line number, tokens, leaf, template, token codes' bounds, token codes)."""
+def parsed(texts: pa.Array, leading: int = LEADING, least: int = MIN_TOKENS) -> Iterator[tuple[np.ndarray, ...]]:
+    """For runs of texts, of each line of at least `least` tokens: (text, line number, tokens, leaf, template, token codes' bounds, token codes)."""
     for at, data, offsets in slices(texts):
         w = words(data, offsets, BLANK)
         if not len(w.doc):
@@ -54,24 +55,24 @@ def parsed(texts: pa.Array, leading: int = LEADING) -> Iterator[tuple[np.ndarray
         place = np.arange(len(h)) - np.repeat(first, n)
         seat = place.astype(np.uint64) * _ODD
         total = lambda x: mix(np.add.reduceat(mix(x + seat), first) + n.astype(np.uint64))  # noqa: B023, E731
-        # a line that is variable for the most part, like a row of figures, is only equal to itself
-        template = np.where(2 * np.add.reduceat((h == _WILD).astype(np.int64), first) <= n, total(h), ~total(w.hash))
+        # a short line, and one that is variable for the most part, like a row of figures, is only equal to itself
+        template = np.where((n >= MIN_TOKENS) & (2 * np.add.reduceat((h == _WILD).astype(np.int64), first) <= n), total(h), ~total(w.hash))
         leaf = mix(n.astype(np.uint64))
         for i in range(leading):
             leaf = np.where(n > i, mix(leaf + h[np.minimum(first + i, len(h) - 1)] * _ODD), leaf)
-        keep = n >= MIN_TOKENS
+        keep = n >= least
         code = (h >> np.uint64(48)).astype(np.uint16)
         code[h == _WILD] = 0
         yield at + w.doc[first[keep]], number[first[keep]], n[keep], leaf[keep].view(np.int64), template[keep].view(np.int64), first[keep], code
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, text_col: str, least: int) -> DataFrame:
     """(doc, line, n, leaf, template, codes): codes are two bytes a token, for lines that can be generalised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc")
-            for doc, number, n, leaf, template, first, code in parsed(batch.column("text")):
+            for doc, number, n, leaf, template, first, code in parsed(batch.column("text"), least=least):
                 raw = code.tobytes()
                 # a document needs the codes of a template once, however often it repeats it
                 once = np.zeros(len(n), bool)
@@ -107,10 +108,10 @@ def _generalised(lines: DataFrame, single: DataFrame) -> DataFrame:
     return masked.join(shared.select("general", "first"), "general").select("template", "first")
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the text without its recurring lines, n_lines (before) and n_dropped."""
+def drop_lines(docs: DataFrame, text_col: str = "text", short: bool = False) -> DataFrame:
+    """docs with the text without its recurring lines, n_lines (before) and n_dropped. short: whether lines under MIN_TOKENS tokens go, too."""
     df = docs.drop("n_lines", "n_dropped")
-    lines = saved(_lines(df, text_col), "lines")
+    lines = saved(_lines(df, text_col, 1 if short else MIN_TOKENS), "lines")
     stats = saved(lines.groupBy("leaf", "template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n")), "templates")
     exact = stats.where("first <> last").select("template", "first")
     single = stats.where(F.col("n") >= GENERAL_TOKENS).where("first = last").select("leaf", "template", "first")

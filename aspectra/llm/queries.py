@@ -51,7 +51,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates."""
-    return linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

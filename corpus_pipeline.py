@@ -41,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of texts; drops documents of which nothing is left."""
     used = ("doc_id", "text", "n_chars")
-    found = linededup.drop_lines(_sealed(docs, *used))
+    found = linededup.drop_lines(_sealed(docs, *used), short=True)
     kept = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return _opened(kept, docs, used)

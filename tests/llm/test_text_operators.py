@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from aspectra.llm import bpe, decontaminate, langid, linededup, quality
+from aspectra.llm import bpe, decontaminate, langid, linededup, quality, queries
 from aspectra.llm.queries import vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -112,6 +112,18 @@ def test_variable_words_make_a_template(spark):
     assert got[0] == 0 and got[9] == 0 and all(got[i] >= 1 for i in range(1, 5))
 
 
+def test_short_lines_recur_as_they_are(spark, tmp_path):
+    import corpus_pipeline as p
+
+    texts = ["Read more\nwords that only one of them has\nPage 1", "read  more\nother words stand in this one\nPage 2\n\nEnd", "Read more\n\nPage 1", "words that only one of them has\nRead more\nPage 1"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: texts[0], 1: "other words stand in this one\nPage 2\n\nEnd", 2: "", 3: ""}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (t, n) for (i, t), n in zip(want.items(), (0, 1, 2, 3), strict=True)}
+    assert {r.doc_id: r.text for r in p.lines(spark, df, DATA).collect()} == {0: want[0], 1: want[1]}
+
+
 def test_equal_ids_are_one_document(spark):
     df = spark.createDataFrame([(1, LINE), (1, LINE), (2, "other words stand here alone")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_dropped) for r in linededup.drop_lines(df).collect()) == [(1, 0), (1, 0), (2, 0)]
