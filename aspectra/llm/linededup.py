@@ -7,7 +7,8 @@ leaf; tokens with a digit count as variable from the start. Within a leaf, two k
   digits, lines that are equal altogether;
 * lines of at least GENERAL_TOKENS tokens that are equal but for other variable fields: a token at a place is
   constant if at least GENERAL_LINES different lines of the leaf have it there; a template whose constant
-  share is at least CONSTANT and that as many lines of different documents share recurs.
+  share is at least CONSTANT and that as many different lines share, not all of one document, recurs. Lines that
+  recur as they are count once among these.
 
 Lines of recurring templates are dropped, but for those of the first document (smallest doc_id) that has the
 template: nothing is lost that is not said elsewhere. Lines under MIN_TOKENS tokens recur only if they are equal
@@ -84,11 +85,11 @@ def _lines(docs: DataFrame, text_col: str, least: int) -> DataFrame:
     return map_arrow(narrow, run, "doc long, line int, n int, leaf long, template long, codes binary")
 
 
-def _generalised(lines: DataFrame, single: DataFrame) -> DataFrame:
-    """(template, general, first): templates that are equal but for variable fields, with the template they share and its first document."""
-    # leaves with several templates that don't recur as they are
-    many = single.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= GENERAL_LINES).select("leaf")
-    some = single.join(many, "leaf").select("template", F.col("first").alias("doc"))
+def _generalised(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """(template, first): templates that are equal but for variable fields, with the first document of the template they share."""
+    # leaves with several templates
+    many = stats.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= GENERAL_LINES).select("leaf")
+    some = stats.join(many, "leaf").select("template", F.col("first").alias("doc"), "last")
     held = saved(lines.where("codes is not null").select("doc", "template", "leaf", "n", "codes").join(some, ["doc", "template"]).dropDuplicates(["doc", "template"]), "leaves")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +99,13 @@ def _generalised(lines: DataFrame, single: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leaf", "template", "doc", "n")] + [pa.array(place.astype(np.int32)), pa.array(code)], names=["leaf", "template", "doc", "n", "place", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leaf", "template", "doc", "last", "n")] + [pa.array(place.astype(np.int32)), pa.array(code)], names=["leaf", "template", "doc", "last", "n", "place", "code"])
 
-    t = map_arrow(held, tokens, "leaf long, template long, doc long, n int, place int, code int").where("code <> 0")
+    t = map_arrow(held, tokens, "leaf long, template long, doc long, last long, n int, place int, code int").where("code <> 0")
     constant = t.groupBy("leaf", "place", "code").agg(F.count("*").alias("c")).where(F.col("c") >= GENERAL_LINES).select("leaf", "place", "code")
-    masked = t.join(constant, ["leaf", "place", "code"]).groupBy("leaf", "template", "doc", "n").agg(F.count("*").alias("k"), F.sum(F.xxhash64("place", "code").cast("decimal(38,0)")).alias("h"))
-    masked = saved(masked.where(F.col("k") >= CONSTANT * F.col("n")).select("template", "doc", F.xxhash64("leaf", "h", "k").alias("general")), "masked")
-    shared = masked.groupBy("general").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("c")).where(f"c >= {GENERAL_LINES} and first <> last")
+    masked = t.join(constant, ["leaf", "place", "code"]).groupBy("leaf", "template", "doc", "last", "n").agg(F.count("*").alias("k"), F.sum(F.xxhash64("place", "code").cast("decimal(38,0)")).alias("h"))
+    masked = saved(masked.where(F.col("k") >= CONSTANT * F.col("n")).select("template", "doc", "last", F.xxhash64("leaf", "h", "k").alias("general")), "masked")
+    shared = masked.groupBy("general").agg(F.min("doc").alias("first"), F.max("last").alias("last"), F.count("*").alias("c")).where(f"c >= {GENERAL_LINES} and first <> last")
     return masked.join(shared.select("general", "first"), "general").select("template", "first")
 
 
@@ -114,8 +115,9 @@ def drop_lines(docs: DataFrame, text_col: str = "text", short: bool = False) ->
     lines = saved(_lines(df, text_col, 1 if short else MIN_TOKENS), "lines")
     stats = saved(lines.groupBy("leaf", "template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n")), "templates")
     exact = stats.where("first <> last").select("template", "first")
-    single = stats.where(F.col("n") >= GENERAL_TOKENS).where("first = last").select("leaf", "template", "first")
-    recurring = exact.unionByName(_generalised(lines, single))
+    general = _generalised(lines, stats.where(F.col("n") >= GENERAL_TOKENS).select("leaf", "template", "first", "last"))
+    # a template that recurs both ways goes but for the first document of all
+    recurring = exact.unionByName(general).groupBy("template").agg(F.min("first").alias("first"))
     dropped = lines.select("doc", "line", "template").join(recurring, "template").where("doc <> first").groupBy("doc").agg(F.collect_set("line").alias("__aspectra_drop"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     out = df.withColumn("__aspectra_doc", key).join(dropped.withColumnRenamed("doc", "__aspectra_doc"), "__aspectra_doc", "left").drop("__aspectra_doc")

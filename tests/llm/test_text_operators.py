@@ -112,6 +112,16 @@ def test_variable_words_make_a_template(spark):
     assert got[0] == 0 and got[9] == 0 and all(got[i] >= 1 for i in range(1, 5))
 
 
+def test_lines_that_recur_as_they_are_share_a_template_with_others(spark):
+    names = ["anna", "bert", "carl", "dora"]
+    # each name in two documents; then one line in many documents and variants of it in one each
+    docs = [(10 * j + i, f"This long post was written by user {n} for the forum") for j in (0, 1) for i, n in enumerate(names)]
+    docs += [(100 + i, "it was a fine day and everybody went to see the sea") for i in range(6)]
+    docs += [(50, "it was a fine day and nobody went to see the sea"), (200, "it was a fine day and everybody went to see the moon")]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i, n in sorted(got.items()) if n == 0] == [0, 50]
+
+
 def test_short_lines_recur_as_they_are(spark, tmp_path):
     import corpus_pipeline as p
 
