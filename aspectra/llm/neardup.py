@@ -2,10 +2,11 @@
 
 A text's set is its distinct word shingles (64-bit hashes cut to 52 bits). Texts with equal sets form one class, whose
 representative is its smallest doc_id. A representative's signature has SLOTS b-bit (16-bit) MinHash
-values, split into CHUNKS chunks. If two signatures differ in at most SLOTS/2 - 1 slots, then by
+values, split into chunks of WIDTH. If two signatures differ in at most SLOTS/2 - 1 slots, then by
 pigeonhole some chunk differs in at most one of its slots; so each chunk is entered once for each slot
 that may be wrong, with the other slots as key, and all pairs within that distance share a key. At the
-Jaccard similarity 0.85 a pair lies beyond it with a chance of 3e-6.
+Jaccard similarity 0.85 a pair lies beyond it with a chance of 3e-6; below that WIDE_SLOTS are taken, which
+at 0.8 leave a chance of 3e-6.
 
 Pairs that share a key are confirmed on full sets. Only components are asked for, so a pair within one
 component need not be looked at again. In each of TURNS turns all members of a key meet one of them, a
@@ -33,13 +34,13 @@ from .common import map_arrow, saved
 from .components import components
 from .textkernel import BLANK, mix, shingle_sets, slices, words
 
-SLOTS, CHUNKS = 32, 8
+SLOTS, WIDE_SLOTS, WIDTH = 32, 48, 4
 BUCKET, TURNS = 16, 3
 #: Bits of a set's parities.
 BITS = 1024
 _RANDOM = np.random.default_rng(31337)
-_A = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
+_A = _RANDOM.integers(1, 1 << 63, WIDE_SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(1, 1 << 63, WIDE_SLOTS, dtype=np.uint64)
 
 
 def sets(texts: pa.Array, size: int, code: np.ndarray = BLANK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,33 +51,33 @@ def sets(texts: pa.Array, size: int, code: np.ndarray = BLANK) -> Iterator[tuple
         yield at, n, np.searchsorted(doc, np.arange(n + 1)), x
 
 
-def signatures(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """SLOTS 16-bit MinHash values for each set; those of empty sets mean nothing."""
+def signatures(starts: np.ndarray, x: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """`slots` 16-bit MinHash values for each set; those of empty sets mean nothing."""
     n = len(starts) - 1
-    out = np.zeros((n, SLOTS), np.uint16)
+    out = np.zeros((n, slots), np.uint16)
     full = np.flatnonzero(starts[1:] > starts[:-1])
     if len(full):
-        for k in range(SLOTS):
+        for k in range(slots):
             out[full, k] = mix(np.minimum.reduceat(x * _A[k] + _B[k], starts[full])) >> np.uint64(48)
     return out
 
 
 def keys(signature: np.ndarray) -> np.ndarray:
     """For each signature the keys of all chunks, each with one slot left out."""
-    width = SLOTS // CHUNKS
+    slots = signature.shape[1]
     out = []
-    for c in range(CHUNKS):
-        part = signature[:, c * width : (c + 1) * width].astype(np.uint64)
-        for j in range(width):
-            h = np.full(len(part), c * width + j + 1, np.uint64)
-            for i in range(width):
+    for c in range(slots // WIDTH):
+        part = signature[:, c * WIDTH : (c + 1) * WIDTH].astype(np.uint64)
+        for j in range(WIDTH):
+            h = np.full(len(part), c * WIDTH + j + 1, np.uint64)
+            for i in range(WIDTH):
                 if i != j:
                     h = (h << np.uint64(16)) | part[:, i]
             out.append(mix(h))
-    return np.stack(out, 1) if out else np.zeros((0, SLOTS), np.uint64)
+    return np.stack(out, 1) if out else np.zeros((0, slots), np.uint64)
 
 
-def _sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+def _sketch(docs: DataFrame, text_col: str, size: int, slots: int) -> DataFrame:
     """(doc_id, n, k1, k2, keys): the size of each row's set, 128 bits that stand for it, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +86,11 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
                 total = [np.zeros(len(x) + 1, np.uint64) for _ in range(2)]
                 for t, salt in zip(total, (np.uint64(0), np.uint64(0x5DEECE66D)), strict=True):
                     np.cumsum(mix(x + salt), out=t[1:])
-                k = keys(signatures(starts, x)).view(np.int64)
+                k = keys(signatures(starts, x, slots)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, n), pa.array((starts[1:] - starts[:-1]).astype(np.int64))]
                     + [pa.array((t[starts[1:]] - t[starts[:-1]]).view(np.int64)) for t in total]
-                    + [pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), SLOTS).cast(pa.list_(pa.int64()))],
+                    + [pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), slots).cast(pa.list_(pa.int64()))],
                     names=["doc_id", "n", "k1", "k2", "keys"],
                 )
 
@@ -215,7 +216,7 @@ def _all_pairs(member: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int = 85, bucket: int = BUCKET, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
-    rows = saved(_sketch(docs, text_col, size), "sketch")
+    rows = saved(_sketch(docs, text_col, size, SLOTS if percent >= 85 else WIDE_SLOTS), "sketch")
     groups = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     groups = saved(groups.where("rep is not null"), "groups")
     # equal rows of one doc_id give the same keys

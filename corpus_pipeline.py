@@ -7,8 +7,9 @@ the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from aspectra.llm import bpe, decontaminate, langid, linededup, neardup
+from aspectra.llm import bpe, components, decontaminate, langid, linededup, neardup
 from aspectra.llm.common import crc_part, saved, table
 from aspectra.llm.queries import vocabulary
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Texts whose language is less certain than this are rejected, as are those without any letter.
 LEAST_CERTAINTY = 0.3
 REST = "__aspectra_rest"
+#: (words of a shingle, similarity in percent): a pair that reaches one of them is a near copy.
+NEAR = [(5, 80), (3, 85)]
 
 
 def _sealed(docs: DataFrame, *used: str) -> DataFrame:
@@ -48,9 +51,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that with the smallest doc_id. Rows without doc_id stay."""
-    found = neardup.classes(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id").distinct()
+    """Keeps one document of each class: that with the smallest doc_id. Rows without doc_id stay.
+
+    Documents are linked if they are near by either measure of NEAR: an added passage may reach only the lower bound of the longer
+    shingles, words changed here and there only that of the shorter ones.
+    """
+    found = [saved(neardup.classes(docs.select("doc_id", "text"), size=size, percent=percent).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")), "near") for size, percent in NEAR]
+    both = reduce(DataFrame.unionByName, found)
+    # rows of one doc_id may be in several classes, which they don't tie together
+    part = components.components(both.where("lo = hi").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
+    gone = both.select("doc_id").union(part.where("id <> component").select("id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

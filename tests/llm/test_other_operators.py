@@ -376,6 +376,22 @@ def test_pipeline_keeps_one_of_each_copy(spark):
         assert stage(spark, df.limit(0), DATA).count() == 0
 
 
+def test_pipeline_links_near_copies_by_either_measure(spark):
+    import corpus_pipeline as p
+
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    def scattered(w):
+        return [f"new{i}" if i in (20, 60, 100) else x for i, x in enumerate(w)]
+
+    added, changed, chain = words("a", 100), words("b", 120), words("c", 120)
+    # a passage added: 0.81 on five and on three words; words changed: 0.77 on five, 0.86 on three
+    texts = {1: added, 2: added + words("tail", 23), 3: changed, 4: scattered(changed), 5: chain, 6: scattered(chain) + words("end", 27), 7: scattered(chain), 8: words("d", 100)}
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in texts.items()] + [(None, " ".join(added), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id or 0 for r in p.near_duplicates(spark, df, DATA).collect()) == [0, 1, 3, 5, 8]
+
+
 def test_pipeline_query(spark):
     import corpus_pipeline as p
 
