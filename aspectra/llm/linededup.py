@@ -7,7 +7,7 @@ leaf; tokens with a digit count as variable from the start. Within a leaf, two k
   digits, lines that are equal altogether;
 * lines of at least GENERAL_TOKENS tokens that are equal but for other variable fields: a token at a place is
   constant if at least GENERAL_LINES different lines of the leaf have it there; a template whose constant
-  share is at least CONSTANT and that as many different lines share, not all of one document, recurs. Lines that
+  share of the tokens without digits is at least CONSTANT and that as many different lines share, not all of one document, recurs. Lines that
   recur as they are count once among these.
 
 Lines of recurring templates are dropped, but for those of the first document (smallest doc_id) that has the
@@ -98,13 +98,16 @@ def _generalised(lines: DataFrame, stats: DataFrame) -> DataFrame:
             n = batch.column("n").to_numpy()
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leaf", "template", "doc", "last", "n")] + [pa.array(place.astype(np.int32)), pa.array(code)], names=["leaf", "template", "doc", "last", "n", "place", "code"])
+            plain = np.bincount(row[code != 0], minlength=len(n))
+            # a line that is variable for the most part is only equal to itself
+            some = np.flatnonzero((code != 0) & (2 * plain >= n)[row])
+            at = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leaf", "template", "doc", "last")] + [pa.array(plain[row[some]].astype(np.int32)), pa.array(place[some].astype(np.int32)), pa.array(code[some])], names=["leaf", "template", "doc", "last", "plain", "place", "code"])
 
-    t = map_arrow(held, tokens, "leaf long, template long, doc long, last long, n int, place int, code int").where("code <> 0")
+    t = map_arrow(held, tokens, "leaf long, template long, doc long, last long, plain int, place int, code int")
     constant = t.groupBy("leaf", "place", "code").agg(F.count("*").alias("c")).where(F.col("c") >= GENERAL_LINES).select("leaf", "place", "code")
-    masked = t.join(constant, ["leaf", "place", "code"]).groupBy("leaf", "template", "doc", "last", "n").agg(F.count("*").alias("k"), F.sum(F.xxhash64("place", "code").cast("decimal(38,0)")).alias("h"))
-    masked = saved(masked.where(F.col("k") >= CONSTANT * F.col("n")).select("template", "doc", "last", F.xxhash64("leaf", "h", "k").alias("general")), "masked")
+    masked = t.join(constant, ["leaf", "place", "code"]).groupBy("leaf", "template", "doc", "last", "plain").agg(F.count("*").alias("k"), F.sum(F.xxhash64("place", "code").cast("decimal(38,0)")).alias("h"))
+    masked = saved(masked.where(F.col("k") >= CONSTANT * F.col("plain")).select("template", "doc", "last", F.xxhash64("leaf", "h", "k").alias("general")), "masked")
     shared = masked.groupBy("general").agg(F.min("doc").alias("first"), F.max("last").alias("last"), F.count("*").alias("c")).where(f"c >= {GENERAL_LINES} and first <> last")
     return masked.join(shared.select("general", "first"), "general").select("template", "first")
 

@@ -122,6 +122,14 @@ def test_lines_that_recur_as_they_are_share_a_template_with_others(spark):
     assert [i for i, n in sorted(got.items()) if n == 0] == [0, 50]
 
 
+def test_tokens_with_digits_leave_the_constant_share_alone(spark):
+    names = ["anna", "bert", "carl", "dora"]
+    docs = [(i, f"2024-05-0{i + 1} 10:32:0{i} user {n} logged in from host 10.0.0.{i} port {440 + i}") for i, n in enumerate(names)]
+    docs += [(10 + i, f"total {i} {i + 1} {i + 2} {i + 3} {i + 4} {i + 5} {i + 6} {i + 7}") for i in range(4)]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i, n in sorted(got.items()) if n == 0] == [0, 10, 11, 12, 13]
+
+
 def test_short_lines_recur_as_they_are(spark, tmp_path):
     import corpus_pipeline as p
 
