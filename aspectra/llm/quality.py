@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_binary, learning_rows, map_arrow, saved, with_fields
 
 LEARN_ROWS = 1500
-#: Bytes of one text that the dictionaries are built from, at most, so that a few long texts don't fill them.
+#: Bytes of one text that the dictionaries are built from, at most, so that a few long texts don't fill them: chunks from all over the text.
 LEARN_BYTES = 1 << 15
 DICTIONARY_BYTES = 112 << 10
 CHUNK = 512
@@ -61,9 +61,15 @@ class Scorer:
         return (bad - good) / max(good, bad)
 
 
+def spread(length: int) -> list[int]:
+    """Where the chunks of a text begin that are learned from: all, or of a longer text LEARN_BYTES / CHUNK of those, evenly spread."""
+    n, most = -(-length // CHUNK), LEARN_BYTES // CHUNK
+    return [i * CHUNK for i in (range(n) if n <= most else np.linspace(0, n - 1, most).astype(int).tolist())]
+
+
 def dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary of chunks; too few chunks for training are taken as they are."""
-    chunks = [t[i : i + CHUNK] for t in texts for i in range(0, min(len(t), LEARN_BYTES), CHUNK)]
+    chunks = [t[i : i + CHUNK] for t in texts for i in spread(len(t))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
     except zstandard.ZstdError:

@@ -168,6 +168,19 @@ def test_exact_templates_brute_force(spark):
         assert set(got[i].split("\n")) <= {*want, ""} and len(want) - len(got[i].split("\n")) <= 1
 
 
+# quality
+
+
+def test_dictionaries_learn_from_the_whole_of_long_texts():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(40_000)) + " late words that only the end has" * 2_000 for _ in range(20)]
+    assert b"late words that only the end has" in quality.dictionary([t.encode() for t in texts])
+    for n in (0, 1, 512, 513, quality.LEARN_BYTES, quality.LEARN_BYTES + 1, 1_000_000):
+        at = quality.spread(n)
+        assert len(at) == len(set(at)) == min(-(-n // quality.CHUNK), quality.LEARN_BYTES // quality.CHUNK) and all(0 <= i < n for i in at)
+        assert not at or n - at[-1] <= quality.CHUNK
+
+
 # encoding
 
 
