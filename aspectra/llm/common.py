@@ -1,23 +1,24 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, Arrow helpers."""
+"""What the operators of this subpackage share: reading tables, Arrow helpers, labels to learn from."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
+import ctypes
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-#: A safe upper bound of rows in one Arrow batch: whole texts are moved, and a text can have 100 KB.
-ARROW_ROWS = 2000
+from aspectra.functions.lineage import dropped, saved, shared_dir  # noqa: F401
+from aspectra.functions.workers import ship_package
 
-#: Label values that are learned, at most.
-LABELS = 200
+#: Bounds of one Arrow batch on its way to a Python worker; a text longer than that makes a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: Bytes of texts that are Python objects at a time.
+SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,44 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='aspectra-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, for operators that move whole texts to Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, ARROW_ROWS + 1):
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever they run: once for each application it is sent as a zip file."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        file = Path(tempfile.mkdtemp(prefix="aspectra-")) / "aspectra.zip"
-        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted((root / "aspectra").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        sc.addPyFile(str(file))
-        _shipped.add(sc.applicationId)
+    """Bounds an Arrow batch in rows and bytes, for operators that move whole texts to Python workers; smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
 
 
 def with_fields(df: DataFrame, ddl: str, without: tuple[str, ...] = ()) -> StructType:
@@ -71,11 +40,38 @@ def with_fields(df: DataFrame, ddl: str, without: tuple[str, ...] = ()) -> Struc
     return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(ddl).fields)
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system, as Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow over batches of bounded size."""
+    """mapInArrow over batches of bounded size; what fn made for a partition is given back at its end."""
     ship_package(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def sliced(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows of a batch with their whole texts as bytes (null: empty), of about `most` bytes."""
+    column = as_binary(batch.column(text_col))
+    at, size = 0, 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if i > at and size + n > most:
+            yield batch.slice(at, i - at), column.slice(at, i - at).to_pylist()
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at), column.slice(at).to_pylist()
 
 
 def ascii_lower(text: Column) -> Column:
@@ -88,20 +84,18 @@ def crc_part(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def learning_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of every label value (of the LABELS most common ones), those of the smallest hashes of doc_id: (doc_id, label).
+def learning_rows(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` rows of each value of a label, those of the smallest hashes; rows: distinct (key columns, label).
 
-    Only narrow columns are read and shuffled. Labels are counted first; of a label with many more rows only those whose hash
-    is below its share (four times what is wanted) come to the window, so that a common label does not gather in one task.
+    Values are counted first; of a value with many more rows only those whose hash is below its share (four
+    times what is wanted) come to the window, so that a common label does not gather in one task.
     """
-    from pyspark.sql import Window
-
-    rows = docs.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
-    count = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(LABELS)
-    share = F.broadcast(count.select(label, (F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("_c")) * 2.0**64 - 2.0**63).alias("_most")))  # LABELS rows
-    w = Window.partitionBy(label).orderBy("_h", "doc_id")
-    low = rows.join(share, label).where(F.col("_h") <= F.col("_most"))
-    return low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("doc_id", label)
+    keys = [c for c in rows.columns if c != label]
+    hashed = rows.withColumn("_h", F.xxhash64(*keys))
+    share = rows.groupBy(label).agg(F.count("*").alias("_c")).select(label, (F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("_c")) * 2.0**64 - 2.0**63).alias("_most"))
+    w = Window.partitionBy(label).orderBy("_h", *keys)
+    low = hashed.join(share, label).where(F.col("_h") <= F.col("_most"))
+    return low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(*keys, label)
 
 
 def as_binary(column: pa.Array) -> pa.Array:

@@ -1,13 +1,14 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Texts are lower-cased; characters other than letters become blanks, runs of them one. The 1- to 3-grams of
+Texts are lower-cased; ASCII characters other than letters become blanks, runs of them one. The 1- to 3-grams of
 characters are hashed to BUCKETS features. A feature's value is its share of the text's n-grams times its
 inverse document frequency, which is computed over all documents that may be learned from. The weights
 are trained with follow-the-regularised-leader (FTRL-proximal, elastic-net penalties) on at most
 LEARN_ROWS documents of each language, a temperature is fitted on rows held out of that sample, and
-texts are scored whole, in one pass, on the executors.
+texts are scored whole, in one pass, on the executors. Every language that has a label is learned; what is broadcast has
+128 KB for each of them.
 
-Defined results: null texts and texts without any letter get `und` with score 0; so do all texts if there
+Rows without doc_id are not learned from, and equal rows count once. Defined results: null texts and texts without any letter get `und` with score 0; so do all texts if there
 is nothing to learn from. Ties between languages go to the first in alphabetical order. Rows, repeated
 ones too, and other columns stay; columns lang_pred and score of the input are replaced.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LABELS, learning_rows, map_arrow, saved, with_fields
+from .common import learning_rows, map_arrow, saved, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are learned from, at most.
@@ -157,15 +158,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
 
     Document frequencies cover all these rows; the weights are fitted on a bounded sample of them.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LABELS).collect()]
-    languages = sorted(top)
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("doc_id", F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return None
-    df, n = document_frequency(labelled, text_col)
+    df, n = document_frequency(labelled, "text")
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    ids = saved(learning_rows(labelled.where(F.col(lang_col).isin(languages)), lang_col, learn_rows).select("doc_id").distinct(), "langid-sample")
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    keys = ["doc_id", "h", "lang"]
+    ids = saved(learning_rows(labelled.where("doc_id is not null").select(*keys).distinct(), "lang", learn_rows), "langid-sample")
+    sample = labelled.join(ids, keys, "left_semi").dropDuplicates(keys).select(F.xxhash64("doc_id", "h").alias("h"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     df = docs.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
-    # size: BUCKETS * LABELS floats at most, 26 MB
+    # size: BUCKETS floats for each language
     held = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     df = df.withColumn("__aspectra_letters", letters)
