@@ -4,7 +4,8 @@ A text is cut into chunks of CHUNK bytes, and each is compressed with either dic
 the summed sizes, divided by the larger sum, is the one feature; logistic calibration, fitted on labelled
 rows that the dictionaries have not seen, turns it into a score. Every text is read whole.
 
-Dictionaries and calibration are fitted on at most LEARN_ROWS rows of each label, chosen by a hash of doc_id.
+Dictionaries and calibration are fitted on at most LEARN_ROWS distinct rows of each label, chosen by a hash of doc_id and text. A
+dictionary is built from chunks of their whole texts: of all of them, or of LEARN_CHUNKS chosen by a hash.
 
 Defined results: null counts as the empty text, which gets the score of a difference of 0; without rows
 of both labels every score is the share of label 1 among the labelled rows (0.5 without any). A document
@@ -15,6 +16,7 @@ score and predicted of the input are replaced.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,11 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, learning_rows, map_arrow, saved, with_fields
+from .common import learning_rows, map_arrow, saved, sliced, with_fields
 
 LEARN_ROWS = 1500
-#: Bytes of one text that the dictionaries are built from, at most, so that a few long texts don't fill them: chunks from all over the text.
-LEARN_BYTES = 1 << 15
+#: Chunks that a dictionary is built from, at most (8 MB).
+LEARN_CHUNKS = 1 << 14
 DICTIONARY_BYTES = 112 << 10
 CHUNK = 512
 LEVEL = 3
@@ -61,19 +63,22 @@ class Scorer:
         return (bad - good) / max(good, bad)
 
 
-def spread(length: int) -> list[int]:
-    """Where the chunks of a text begin that are learned from: all, or of a longer text LEARN_BYTES / CHUNK of those, evenly spread."""
-    n, most = -(-length // CHUNK), LEARN_BYTES // CHUNK
-    return [i * CHUNK for i in (range(n) if n <= most else np.linspace(0, n - 1, most).astype(int).tolist())]
+def chunks(texts: list[bytes], most: int = LEARN_CHUNKS) -> list[bytes]:
+    """The chunks of whole texts, or those `most` of them that have the smallest hashes, in order."""
+    out = [(zlib.crc32(t[i : i + CHUNK], i), t[i : i + CHUNK]) for t in texts for i in range(0, len(t), CHUNK)]
+    if len(out) > most:
+        least = sorted(h for h, _ in out)[most - 1]
+        out = [x for x in out if x[0] <= least][:most]
+    return [c for _, c in out]
 
 
 def dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary of chunks; too few chunks for training are taken as they are."""
-    chunks = [t[i : i + CHUNK] for t in texts for i in spread(len(t))]
+    found = chunks(texts)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(chunks)[-DICTIONARY_BYTES:] or b" " * 8
+        return b"".join(found)[-DICTIONARY_BYTES:] or b" " * 8
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
@@ -94,9 +99,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", learn_rows: int = LEARN_ROWS) -> Model:
     """Learns from labels (doc_id, label 0 or 1) and the texts of docs; the caller leaves out what must not be learned from."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.min(label_col).alias("_label"))
-    known = docs.where(F.col(text_col).isNotNull()).select("doc_id").distinct()
-    ids = saved(learning_rows(one.join(known, "doc_id", "left_semi"), "_label", learn_rows), "quality-sample")
-    rows = docs.select("doc_id", F.col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "_label", "t").where("t is not null").collect()
+    texts = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    keys = ["doc_id", "h"]
+    ids = saved(learning_rows(texts.select(*keys).join(one, "doc_id").distinct(), "_label", learn_rows), "quality-sample")
+    rows = texts.join(ids, keys).dropDuplicates(keys).select(F.xxhash64("doc_id", "h").alias("h"), "_label", "t").collect()
     rows = sorted(rows, key=lambda r: (r.h, bytes(r.t)))
     texts = {y: [bytes(r.t) for r in rows if r["_label"] == y and r.h % 3] for y in (0, 1)}
     held = [(bytes(r.t), r["_label"]) for r in rows if r.h % 3 == 0]
@@ -110,9 +116,6 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     return Model(good, bad, slope, bias)
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from the threshold on)."""
     df = docs.drop("score", "predicted")
@@ -121,11 +124,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
-        s = _scorers.setdefault(m.good + m.bad, Scorer(m.good, m.bad))
+        s = Scorer(m.good, m.bad)
         for batch in batches:
-            x = np.array([s.difference(t) for t in as_binary(batch.column(text_col)).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -30, 30)))
-            names = [n for n in batch.schema.names if keep_text or n != text_col]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            for part, texts in sliced(batch, text_col):
+                x = np.array([s.difference(t) for t in texts])
+                p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -30, 30)))
+                names = [n for n in part.schema.names if keep_text or n != text_col]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return map_arrow(df, run, with_fields(df, "score double, predicted int", () if keep_text else (text_col,)))
