@@ -16,7 +16,6 @@ too, and the added columns replace columns of the same names.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, map_arrow, with_fields
+from .common import map_arrow, sliced, with_fields
 
 WINDOW = 10
 PART_BYTES = 8 << 20
 #: Bytes to normalised bytes; what parts words becomes a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_built: dict[str, ahocorasick.Automaton] = {}
 
 CARRIED = "__aspectra_runs array<struct<start:int,end:int>>, __aspectra_items array<string>"
 ADDED_NAMES = ["n_words", "n_hit", "items", "hit_spans"]
@@ -134,34 +132,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     part, first = next(ahead), True
     while part is not None:
         following = next(ahead, None)
-        df = map_arrow(df, _scanner(sc.broadcast(part), uuid.uuid4().hex, text_col, window, first, following is None), with_fields(base, ADDED if following is None else CARRIED))
+        df = map_arrow(df, _scanner(sc.broadcast(part), text_col, window, first, following is None), with_fields(base, ADDED if following is None else CARRIED))
         part, first = following, False
     return df
 
 
-def _scanner(held, key: str, text_col: str, window: int, first: bool, last: bool):
+def _scanner(held, text_col: str, window: int, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(held.value, window)
-        for batch in batches:
-            texts = as_binary(batch.column(text_col)).to_pylist()
-            found = [scan(t, _built[key]) for t in texts]
-            runs, items = [x[1] for x in found], [sorted(x[2]) for x in found]
-            if not first:
-                runs = [_merged(r, [(x["start"], x["end"]) for x in o]) for r, o in zip(runs, batch.column("__aspectra_runs").to_pylist(), strict=True)]
-                items = [sorted({*i, *o}) for i, o in zip(items, batch.column("__aspectra_items").to_pylist(), strict=True)]
-            kept = [n for n in batch.schema.names if n not in ("__aspectra_runs", "__aspectra_items")]
-            columns = [batch.column(n) for n in kept]
-            ids = pa.array(items, pa.list_(pa.string()))
-            pairs = [spans(t, r) for t, r in zip(texts, runs, strict=True)] if last else runs
-            pairs = pa.array([[{"start": s, "end": e} for s, e in r] for r in pairs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            if last:
-                columns += [pa.array([x[0] for x in found], pa.int64()), pa.array([sum(e - s for s, e in r) for r in runs], pa.int64()), ids, pairs]
-                kept += ADDED_NAMES
-            else:
-                columns += [pairs, ids]
-                kept += ["__aspectra_runs", "__aspectra_items"]
-            yield pa.RecordBatch.from_arrays(columns, names=kept)
+        a = automaton(held.value, window)
+        for whole in batches:
+            for batch, texts in sliced(whole, text_col):
+                found = [scan(t, a) for t in texts]
+                runs, items = [x[1] for x in found], [sorted(x[2]) for x in found]
+                if not first:
+                    runs = [_merged(r, [(x["start"], x["end"]) for x in o]) for r, o in zip(runs, batch.column("__aspectra_runs").to_pylist(), strict=True)]
+                    items = [sorted({*i, *o}) for i, o in zip(items, batch.column("__aspectra_items").to_pylist(), strict=True)]
+                kept = [n for n in batch.schema.names if n not in ("__aspectra_runs", "__aspectra_items")]
+                columns = [batch.column(n) for n in kept]
+                ids = pa.array(items, pa.list_(pa.string()))
+                pairs = [spans(t, r) for t, r in zip(texts, runs, strict=True)] if last else runs
+                pairs = pa.array([[{"start": s, "end": e} for s, e in r] for r in pairs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                if last:
+                    columns += [pa.array([x[0] for x in found], pa.int64()), pa.array([sum(e - s for s, e in r) for r in runs], pa.int64()), ids, pairs]
+                    kept += ADDED_NAMES
+                else:
+                    columns += [pairs, ids]
+                    kept += ["__aspectra_runs", "__aspectra_items"]
+                yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     return run
