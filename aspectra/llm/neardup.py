@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, saved
+from .common import dropped, map_arrow, saved
 from .components import components
 from .textkernel import BLANK, mix, shingle_sets, slices, words
 
@@ -226,12 +226,16 @@ def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int
     entry = saved(entry.join(many, "key"), "buckets")
     full = saved(_full_sets(docs, entry.select("id").distinct(), text_col, size), "sets")
     links, part = None, None
+    old: list[DataFrame] = []  # tables that nothing reads in the end
     for turn in range(turns):
         pairs = saved(_pivot_pairs(_split(entry, part), turn, percent), "pairs")
         found = saved(_confirmed(pairs, full, percent), "confirmed")
+        dropped(pairs)
+        old.append(found)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
+        old.append(part)
         part = saved(components(links), "components")
     # the rest, exactly: pairs of keys whose members are still in more than one component
     member = saved(_split(entry, part), "rest")
@@ -240,9 +244,13 @@ def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int
         large = saved(member.where(F.col("c") > bucket).select("id", "component").distinct(), "rest-large")
         if not large.isEmpty():
             pairs = pairs.unionByName(_prefix_pairs(full, large, percent)).distinct()
-        found = saved(_confirmed(saved(pairs, "rest-pairs"), full, percent), "rest-links")
+        pairs = saved(pairs, "rest-pairs")
+        found = saved(_confirmed(pairs, full, percent), "rest-links")
+        old += [large, pairs, found]
         if not found.isEmpty():
+            old.append(part)
             part = saved(components(found if links is None else links.unionByName(found)), "components")
+    dropped(entry, full, member, *old)
     if part is None:
         known = groups.select("n", "k1", "k2", F.col("rep").alias("component_id"))
     else:

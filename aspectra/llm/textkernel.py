@@ -59,9 +59,10 @@ def byte_table(is_word) -> np.ndarray:
 
 #: Words of letters, digits and everything beyond ASCII.
 ALNUM = byte_table(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
-#: Words between ASCII white space. NUL is part of a word; it takes the code 1, as the byte 1 does.
+#: Words between ASCII white space. NUL is part of a word; as 0 parts words, it takes a code that no byte of a text has:
+#: 0xFF is not found in UTF-8.
 BLANK = byte_table(lambda b: b != 0x20 and not 9 <= b <= 13)
-BLANK[0] = 1
+BLANK[0] = 0xFF
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
