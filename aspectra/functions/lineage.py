@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -31,6 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are not held any more: it does so when the driver's heap is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes the files of saved tables that no plan reads any more."""
     for t in tables:
