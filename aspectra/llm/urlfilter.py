@@ -3,7 +3,8 @@
 Everything runs in DataFrame functions and the DataFrame API of Spark ML; trees are applied as
 CASE expressions. The labelled URLs are those that rules decide, or any table of (url, label). Statistics of
 host suffixes are computed over all labelled URLs, in SUFFIX_BUCKETS hashed buckets (a bound for
-what is broadcast); the trees are fitted on at most LEARN_ROWS labelled URLs, chosen by a hash of the url.
+what is broadcast); for the rows that the trees are fitted on they leave out the row's own fold. The trees are fitted on at most
+LEARN_ROWS distinct labelled URLs, chosen by a hash of the url.
 
 Defined results: a null url, or one without `://`, has an empty host and path, and fits no rule; the trees judge it
 like any other (a null url as the empty one). Of rules that fit, the longest host and path win, then block, then alphabetical order. If
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, saved
 
 LEARN_ROWS = 20_000
+FOLDS = 5
 SUFFIX_BUCKETS = 1024
 TREES, DEPTH = 8, 3
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_digits", "f_entropy", "f_parameters", "f_hyphens", "f_labels", "f_suffix"]
@@ -116,14 +118,21 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", l
     """Fits the trees to labelled URLs (label 1: block, 0: allow)."""
     df = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
     df = df.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-    suffixes = saved(df.groupBy(suffix_bucket(F.col("host")).alias("bucket")).agg(F.sum("label").alias("s"), F.count("*").alias("n")), "suffixes")
-    total, n = suffixes.agg(F.sum("s"), F.sum("n")).first()
+    df = df.withColumn("bucket", suffix_bucket(F.col("host"))).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    folds = saved(df.groupBy("bucket", "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n")), "suffixes")
+    total, n = folds.agg(F.sum("s"), F.sum("n")).first()
     if not n or total in (0, n):
         return Model(None, None, "block" if n and total else "allow", 0.0)
     prior = total / n
-    suffixes = suffixes.select("bucket", ((F.col("s") + 10 * prior) / (F.col("n") + 10)).alias("f_suffix"))
-    sample = saved(df.orderBy(F.xxhash64("url"), "url").limit(learn_rows), "url-sample")
-    rows = lexical(sample, "url").join(F.broadcast(suffixes), "bucket", "left").fillna({"f_suffix": prior})
+    smoothed = lambda s, n: (s + 10 * prior) / (n + 10)
+    every = folds.groupBy("bucket").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    suffixes = every.select("bucket", smoothed(F.col("all_s"), F.col("all_n")).alias("f_suffix"))
+    # a row to fit on must not see its own label, nor those of equal urls: its statistics leave its fold out
+    others = every.join(folds, "bucket").select("bucket", "fold", smoothed(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")).alias("f_suffix"))
+    # only those with a hash below the share of what is wanted (twice it) come to the sort
+    hashed = df.select("url", "label", "host", "path", "fold").withColumn("h", F.xxhash64("url")).where(F.col("h") <= min(1.0, 2.0 * learn_rows / n) * 2.0**64 - 2.0**63).distinct()
+    sample = saved(hashed.orderBy("h", "url", "label").limit(learn_rows), "url-sample")
+    rows = lexical(sample, "url").join(F.broadcast(others), ["bucket", "fold"], "left").fillna({"f_suffix": prior})  # FOLDS * SUFFIX_BUCKETS rows at most
     rows = saved(rows.select("label", *FEATURES), "url-features")
     if rows.select("label").distinct().count() < 2:
         return Model(None, None, "block" if prior > 0.5 else "allow", prior)
