@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from aspectra.functions.lineage import dropped, saved, shared_dir  # noqa: F401
+from aspectra.functions.lineage import dropped, saved, shared_dir, swept  # noqa: F401
 from aspectra.functions.workers import ship_package
 
 #: Bounds of one Arrow batch on its way to a Python worker; a text longer than that makes a batch of its own.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learning_rows, map_arrow, saved, with_fields
+from .common import learning_rows, map_arrow, release, saved, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are learned from, at most.
@@ -185,6 +185,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
     w = ftrl(used, len(languages), BUCKETS)
     calibrate = held or used
     t = temperature(np.array([x @ w[i] for _, i, x in calibrate]), np.array([y for y, _, _ in calibrate]))
+    del rows, held, used, calibrate
+    release()
     return Model(languages, (w * idf[:, None]).astype(np.float32), np.zeros(len(languages)), t)
 
 
