@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aspectra.functions import strings
+from aspectra.functions.components import components
+from aspectra.functions.lineage import saved
+from aspectra.functions.workers import ship_package
 from aspectra.operators import joins, windows
 from aspectra.operators.text import chunked, is_noun, without_stopwords
 
@@ -124,37 +128,46 @@ def surfaces(occ: DataFrame, places: DataFrame, toks: DataFrame) -> DataFrame:
     return joined.select("set_id", "term").distinct()
 
 
-def clusters(words: DataFrame, match: float, mode: str = "reference") -> DataFrame:
-    """(word, cluster): words that are similar under complete linkage.
-
-    reference: every word for itself, as distances are taken on another scale than the cut. intended: clusters
-    of words whose pairs are all at a ratio of match / 100 or more; the first word names its cluster. The model's vocabulary of
-    frequent words is clustered on the driver, so it must be bounded by the caller's support.
-    """
-    if mode == "reference":
-        return words.select("word", F.col("word").alias("cluster")).distinct()
-    w = words.select("word").distinct()
-    pairs = joins.fuzzy_pairs(w, match / 100).collect()
-    names = sorted(r.word for r in w.collect())
-    near = {(r.a, r.b): r.ratio for r in pairs}
-    groups = [[n] for n in names]
+def _linked(words: list[str], near: dict[tuple[str, str], float], least: float) -> list[list[str]]:
+    """Complete linkage of words: the two groups whose least similar pair is most similar are put together, as long as that pair reaches `least`."""
+    groups = [[w] for w in sorted(words)]
     while True:
         best = None
         for i, x in enumerate(groups):
             for j in range(i + 1, len(groups)):
-                worst = min((near.get((min(a, b), max(a, b)), 0.0) for a in x for b in groups[j]))
-                if worst >= match / 100 and (best is None or worst > best[0]):
+                worst = min(near.get((min(a, b), max(a, b)), 0.0) for a in x for b in groups[j])
+                if worst >= least and (best is None or worst > best[0]):
                     best = (worst, i, j)
         if best is None:
-            break
+            return groups
         groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
-    return w.sparkSession.createDataFrame([(n, g[0]) for g in groups for n in g], "word string, cluster string")
+
+
+def clusters(words: DataFrame, match: float, mode: str = "reference") -> DataFrame:
+    """(word, cluster): words that are similar under complete linkage.
+
+    reference: every word for itself, as distances are taken on another scale than the cut. intended: clusters
+    of words whose pairs are all at a ratio of match / 100 or more; the first word names its cluster. Words of different connected
+    components of the similar pairs never share a cluster, so each component is clustered by itself, on an executor.
+    """
+    if mode == "reference":
+        return words.select("word", F.col("word").alias("cluster")).distinct()
+    ship_package(words.sparkSession)
+    w, least = words.select("word").distinct(), match / 100
+    pairs = saved(joins.fuzzy_pairs(w, least), "similar")
+    part = saved(components(pairs.select("a", "b")), "components")
+    alone = w.join(part, F.col("word") == F.col("id"), "left_anti").select("word", F.col("word").alias("cluster"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        near = {(a, b): r for a, b, r in zip(rows["a"], rows["b"], rows["ratio"], strict=True)}
+        found = _linked(sorted({*rows["a"], *rows["b"]}), near, least)
+        return pd.DataFrame([(x, g[0]) for g in found for x in g], columns=["word", "cluster"])
+
+    return alone.unionByName(pairs.join(part, pairs["a"] == part["id"]).groupBy("component").applyInPandas(run, "word string, cluster string"))
 
 
 def extract(toks: DataFrame, stopwords: DataFrame, support: float = 1.0, most: int = 2, psupport: int = 3, compact: int = 2, distance: int = 3, window: int = 5, mode: str = "reference") -> DataFrame:
     """(set_id, term): the model's terms with their surface forms, from transactions to pruning and infrequent terms."""
-    from aspectra.functions.lineage import saved
-
     items = saved(transactions(toks, stopwords), "transactions")
     n = toks.select("sent_id").distinct().count()
     sets = saved(frequent(items, n, support, most), "itemsets")

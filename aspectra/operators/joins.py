@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from aspectra.functions import strings
 from aspectra.operators.text import RULE_JJ, chunks, is_noun
@@ -59,35 +60,55 @@ def supersets(sets: DataFrame, strict: bool = True) -> DataFrame:
     return (df.where("other_size > size") if strict else df).select("set_id", "other")
 
 
+def _last_and_next(rows: DataFrame, value: Column, at: str = "idx") -> DataFrame:
+    """rows with _last and _next: of the rows of a sentence that have a value, the last one up to each row and the first one after it.
+
+    Both windows run forward over one order or its reverse, so that a sentence costs what it has rows, not their square.
+    """
+    order = lambda c: Window.partitionBy("sent_id").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    df = rows.withColumn("_v", value)
+    return df.withColumn("_last", F.last("_v", ignorenulls=True).over(order(F.col(at)))).withColumn("_next", F.last("_v", ignorenulls=True).over(order(F.desc(at)))).drop("_v")
+
+
 def nearest_noun(toks: DataFrame) -> DataFrame:
     """(sent_id, idx, noun_idx, noun): for each adjective the nearest noun of its sentence; the earlier one of equals."""
-    adj = toks.where(F.col("pos").isin(RULE_JJ)).select("sent_id", "idx")
-    noun = toks.where(is_noun(F.col("pos"))).select("sent_id", F.col("idx").alias("noun_idx"), F.col("lemma").alias("noun"))
-    pairs = adj.join(noun, "sent_id")
-    best = F.min_by(F.struct("noun_idx", "noun"), F.struct(F.abs(F.col("idx") - F.col("noun_idx")), "noun_idx"))
-    return pairs.groupBy("sent_id", "idx").agg(best.alias("b")).select("sent_id", "idx", "b.noun_idx", "b.noun")
+    noun = F.when(is_noun(F.col("pos")), F.struct(F.col("idx").alias("noun_idx"), F.col("lemma").alias("noun")))
+    df = _last_and_next(toks.select("sent_id", "idx", "lemma", "pos"), noun).where(F.col("pos").isin(RULE_JJ) & (F.col("_last").isNotNull() | F.col("_next").isNotNull()))
+    later = F.col("_last").isNull() | (F.col("_next.noun_idx") - F.col("idx") < F.col("idx") - F.col("_last.noun_idx"))
+    return df.withColumn("b", F.when(later, F.col("_next")).otherwise(F.col("_last"))).select("sent_id", "idx", "b.noun_idx", "b.noun")
 
 
 def nearest_phrase(toks: DataFrame) -> DataFrame:
-    """(sent_id, idx, string): for each adjective the nearest noun phrase, by the smaller distance to its start or its exclusive stop."""
-    adj = toks.where(F.col("pos").isin(RULE_JJ)).select("sent_id", "idx")
-    np = chunks(toks).where("type = 'NP'")
-    d = F.least(F.abs(F.col("start") - F.col("idx")), F.abs(F.col("stop") - F.col("idx")))
-    best = adj.join(np, "sent_id").groupBy("sent_id", "idx").agg(F.min_by("string", F.struct(d, "start")).alias("string"))
-    return best
+    """(sent_id, idx, string): for each adjective the nearest noun phrase, by the smaller distance to its start or its exclusive stop.
+
+    Only three can be nearest: the last phrase that begins up to the adjective, the one before that, and the next one.
+    """
+    one = F.struct("start", "stop", "string")
+    np = chunks(toks).where("type = 'NP'").withColumn("np", one).withColumn("before", F.lag("np").over(Window.partitionBy("sent_id").orderBy("start")))
+    np = np.select("sent_id", F.col("start").alias("idx"), F.lit(0).alias("kind"), F.struct("np", "before").alias("p"))
+    adj = toks.where(F.col("pos").isin(RULE_JJ)).select("sent_id", "idx", F.lit(1).alias("kind"), F.lit(None).alias("p"))
+    rows = np.unionByName(adj).withColumn("place", F.struct("idx", "kind"))
+    near = _last_and_next(rows, F.col("p"), "place").where("kind = 1").select("sent_id", "idx", F.explode(F.array_compact(F.array("_last.np", "_last.before", "_next.np"))).alias("c"))
+    d = F.least(F.abs(F.col("c.start") - F.col("idx")), F.abs(F.col("c.stop") - F.col("idx")))
+    return near.groupBy("sent_id", "idx").agg(F.min_by("c.string", F.struct(d, "c.start")).alias("string"))
+
+
+def _span_ends(toks: DataFrame, spans: DataFrame, place: Column, side: str) -> DataFrame:
+    """(sent_id, start, noun_idx): for each span the last noun up to a place, or the first one from there on."""
+    noun = toks.where(is_noun(F.col("pos"))).select("sent_id", F.col("idx").alias("at"), F.lit(0 if side == "_last" else 2).alias("kind"), F.lit(None).cast("int").alias("start"), F.col("idx").alias("v"))
+    point = spans.select("sent_id", place.alias("at"), F.lit(1).alias("kind"), F.col("start").cast("int").alias("start"), F.lit(None).cast("int").alias("v"))
+    rows = noun.unionByName(point).withColumn("place", F.struct("at", "kind", "start"))
+    return _last_and_next(rows, F.col("v"), "place").where(F.col("kind") == 1).where(F.col(side).isNotNull()).groupBy("sent_id", "start").agg((F.max if side == "_last" else F.min)(side).alias("noun_idx"))
 
 
 def noun_after(toks: DataFrame, spans: DataFrame, mode: str = "reference") -> DataFrame:
     """(sent_id, start, noun_idx): the first noun after a span. In reference mode the token right at the exclusive stop is passed over."""
-    noun = toks.where(is_noun(F.col("pos"))).select("sent_id", F.col("idx").alias("noun_idx"))
-    after = "noun_idx > stop" if mode == "reference" else "noun_idx >= stop"
-    return spans.join(noun, "sent_id").where(after).groupBy("sent_id", "start").agg(F.min("noun_idx").alias("noun_idx"))
+    return _span_ends(toks, spans, F.col("stop") + (1 if mode == "reference" else 0), "_next")
 
 
 def noun_before(toks: DataFrame, spans: DataFrame) -> DataFrame:
     """(sent_id, start, noun_idx): the last noun before a span."""
-    noun = toks.where(is_noun(F.col("pos"))).select("sent_id", F.col("idx").alias("noun_idx"))
-    return spans.join(noun, "sent_id").where("noun_idx < start").groupBy("sent_id", "start").agg(F.max("noun_idx").alias("noun_idx"))
+    return _span_ends(toks, spans, F.col("start") - 1, "_last")
 
 
 def in_segment(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ lemma, exactly: under every setting in use the reference behaviour of matching i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,32 +106,77 @@ def first_history(history: DataFrame) -> DataFrame:
     return history.groupBy("kind", "term", "sent_id", "idx").agg(e.alias("e")).select("kind", "term", "sent_id", "idx", "e.*")
 
 
-def orientations(history: DataFrame, seeds: DataFrame, toks: DataFrame, limit: int = 5, mode: str = "reference", depth: int = 20) -> DataFrame:
-    """(kind, term, orientation): round by round from the seeds (term, orientation).
+def _turned(history: DataFrame, toks: DataFrame, limit: int, mode: str) -> DataFrame:
+    """First findings with `from`, the kind of their origin, and `turn`, 1.0 or -1.0: whether negations turn the origin's orientation around.
 
-    An aspect found by an opinion word takes its orientation, turned around by a negation near the opinion word; an opinion word
-    found by an opinion word is turned around by an odd number of negations between them (none in reference mode). A
-    term's orientation is the sum over its first findings (intended) or the last one's (reference).
+    An aspect found by an opinion word, or an opinion word by an aspect, is turned by a negation near its origin, a word found by one of its kind by an odd number of
+    negations between them (none in reference mode).
     """
     occ = saved(first_history(history), "first")
     near = windows.negations_near(toks, NEGATIONS, limit, mode).select("sent_id", F.col("idx").alias("origin_idx"), F.col("negations").alias("near"))
     pairs = occ.select("sent_id", F.col("origin_idx").alias("a"), F.col("idx").alias("b")).distinct()
     between = windows.negations_between(toks, pairs, NEGATIONS, mode).select("sent_id", F.col("a").alias("origin_idx"), F.col("b").alias("idx"), F.col("negations").alias("between"))
-    occ = saved(occ.join(near, ["sent_id", "origin_idx"], "left").join(between, ["sent_id", "origin_idx", "idx"], "left"), "turned")
+    family = F.substring("rule", 1, 1)
+    flips = F.when(family.isin("1", "2"), (F.col("near") > 0).cast("int")).otherwise(F.col("between") % 2)
+    df = occ.join(near, ["sent_id", "origin_idx"], "left").join(between, ["sent_id", "origin_idx", "idx"], "left")
+    return df.withColumn("from", F.when(family.isin("1", "4"), "opinion").otherwise("aspect")).withColumn("turn", F.pow(F.lit(-1.0), F.coalesce(flips, F.lit(0))))
+
+
+def _sign(value: Column) -> Column:
+    """1.0 for what is over 0, else -1.0."""
+    return F.when(value > 0, 1.0).otherwise(-1.0)
+
+
+def orientations(history: DataFrame, seeds: DataFrame, toks: DataFrame, limit: int = 5, mode: str = "reference", depth: int = 20) -> DataFrame:
+    """(kind, term, orientation): 1.0 or -1.0, round by round from the seeds (term, orientation), which keep their value.
+
+    A term is positive if the sum over its first findings is over 0 (intended), or the last one is (reference).
+    """
+    occ = saved(_turned(history, toks, limit, mode), "turned")
     known = seeds.select(F.lit("opinion").alias("kind"), "term", F.col("orientation").cast("double").alias("orientation"))
     rounds = occ.agg(F.max("round").alias("m")).first()["m"] or 0
     for k in range(1, min(rounds, depth) + 1):
         for phase in (["1", "4"], ["3", "2"]):
-            from_kind = F.when(F.substring("rule", 1, 1).isin("1", "4"), "opinion").otherwise("aspect")
-            step = occ.where((F.col("round") == k) & F.substring("rule", 1, 1).isin(phase)).withColumn("from", from_kind).join(known.toDF("from", "origin", "v"), ["from", "origin"])
-            flips = F.when(F.substring("rule", 1, 1).isin("1", "2"), (F.col("near") > 0).cast("int")).otherwise(F.col("between") % 2)
-            step = step.withColumn("v", F.col("v") * F.pow(F.lit(-1.0), F.coalesce(flips, F.lit(0))))
+            step = occ.where((F.col("round") == k) & F.substring("rule", 1, 1).isin(phase)).join(known.toDF("from", "origin", "v"), ["from", "origin"])
+            step = step.withColumn("v", F.col("v") * F.col("turn"))
             value = F.max_by("v", F.struct("sent_id", "idx")) if mode == "reference" else F.sum("v")
-            new = step.groupBy("kind", "term").agg(value.alias("orientation")).join(known, ["kind", "term"], "left_anti")
+            new = step.groupBy("kind", "term").agg(_sign(value).alias("orientation")).join(known, ["kind", "term"], "left_anti")
             known = saved(known.unionByName(new), "known")
     return known
 
 
+def aspect_orientations(history: DataFrame, known: DataFrame, toks: DataFrame, limit: int = 5, mode: str = "reference") -> DataFrame:
+    """(review_id, term, orientation): of each aspect in a review the sign of the sum over its sentences there, of which each counts by its first finding.
+
+    known: (kind, term, orientation), from orientations(). Findings from terms without orientation count nothing.
+    """
+    where = toks.select("review_id", "sent_id").distinct()
+    occ = _turned(history, toks, limit, mode).where("kind = 'aspect'")
+    one = occ.groupBy("sent_id", "term").agg(F.min_by(F.struct("from", "origin", "turn"), F.struct("round", "idx")).alias("e")).select("sent_id", "term", "e.*")
+    v = one.join(known.toDF("from", "origin", "v"), ["from", "origin"], "left").join(where, "sent_id")
+    return v.groupBy("review_id", "term").agg(_sign(F.coalesce(F.sum(F.col("v") * F.col("turn")), F.lit(0.0))).alias("orientation"))
+
+
+def extract(toks: DataFrame, rels: DataFrame, seeds: DataFrame, segments: DataFrame | None = None, nouns: int = 2, adjectives: int = 1, limit: int = 5, percent: float = 2.0, mode: str = "reference", most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The whole model: (aspects (aspect, kind, support), opinion words (term, orientation)).
+
+    seeds: (term, orientation). segments: (sent_id, start, stop), the clauses that a parser found. Terms are propagated to the fixpoint; occurrences
+    are pruned by clause and by phrase; terms that lose all of them go, and what only they had found goes with them (cascade); aspects of several
+    words are made of the rest. kind is term or phrase, support counts sentences.
+    """
+    terms, history = propagate(toks, rels, seeds, most)
+    found = saved(history.where("kind = 'aspect'").select("term", "sent_id", "idx").distinct(), "occurrences")
+    segments = toks.sparkSession.createDataFrame([], "sent_id long, start int, stop int") if segments is None else segments
+    held = saved(phrase_pruning(clause_pruning(found, segments, toks, mode), toks, mode), "held")
+    gone = found.select("term").distinct().join(held, "term", "left_anti").select(F.lit("aspect").alias("kind"), "term")
+    left = saved(cascade(terms.select("kind", "term"), history, gone, terms.where("round = 0"), mode), "left")
+    held = held.join(left.where("kind = 'aspect'").select("term"), "term", "left_semi")
+    single = held.groupBy(F.col("term").alias("aspect")).agg(F.count_distinct("sent_id").alias("support")).select("aspect", F.lit("term").alias("kind"), "support")
+    several = frequent_phrases(phrases(held, toks, nouns, adjectives), percent).select(F.col("phrase").alias("aspect"), F.lit("phrase").alias("kind"), "support")
+    words = left.where("kind = 'opinion'").join(orientations(history, seeds, toks, limit, mode), ["kind", "term"], "left").select("term", "orientation")
+    return single.unionByName(several), words
+
+
 def review_orientations(found: DataFrame, toks: DataFrame, known: DataFrame) -> DataFrame:
     """(review_id, orientation): 1 if the orientations of a review's opinion words sum up to more than 0, else -1."""
     where = toks.select("review_id", "sent_id").distinct()

@@ -17,7 +17,7 @@ def neighbours(toks: DataFrame, pos: str | None = None, mode: str = "reference")
     """
     hit = F.lit(True) if pos is None else F.col("pos") == pos
     back = hit & (F.col("idx") > 0) if mode == "reference" else hit
-    after = F.min(F.when(hit, F.col("idx"))).over(sentence_order().rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(hit, F.col("idx"))).over(Window.partitionBy("sent_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1))
     before = F.max(F.when(back, F.col("idx"))).over(sentence_order().rowsBetween(Window.unboundedPreceding, -1))
     return toks.withColumn("next_idx", after).withColumn("prev_idx", before)
 
@@ -27,7 +27,8 @@ def chunk_neighbours(chunks: DataFrame, type: str, mode: str = "reference") -> D
     w = Window.partitionBy("sent_id").orderBy("chunk_id")
     hit = F.col("type") == type
     back = hit & (F.col("chunk_id") > 1) if mode == "reference" else hit
-    df = chunks.withColumn("next_id", F.min(F.when(hit, F.col("chunk_id"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back_w = Window.partitionBy("sent_id").orderBy(F.desc("chunk_id"))
+    df = chunks.withColumn("next_id", F.min(F.when(hit, F.col("chunk_id"))).over(back_w.rowsBetween(Window.unboundedPreceding, -1)))
     df = df.withColumn("prev_id", F.max(F.when(back, F.col("chunk_id"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     near = F.when(F.col("next_id").isNull(), F.col("prev_id")).when(F.col("prev_id").isNull(), F.col("next_id"))
     near = near.when(F.col("next_id") - F.col("chunk_id") < F.col("chunk_id") - F.col("prev_id"), F.col("next_id")).otherwise(F.col("prev_id"))
@@ -37,10 +38,15 @@ def chunk_neighbours(chunks: DataFrame, type: str, mode: str = "reference") -> D
 def nearest_k(toks: DataFrame, points: DataFrame, k: int, side: str, kind: str = "noun") -> DataFrame:
     """(sent_id, pos, idx, rank): for each point (sent_id, pos) its k nearest nouns or adjectives on one side, nearest first."""
     what = is_noun(F.col("pos")) if kind == "noun" else F.col("pos").isin(RULE_JJ)
-    some = toks.where(what).select("sent_id", "idx")
-    pairs = points.select("sent_id", F.col("pos")).distinct().join(some, "sent_id").where("idx > pos" if side == "next" else "idx < pos")
-    order = F.abs(F.col("idx") - F.col("pos"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("sent_id", "pos").orderBy(order))).where(F.col("rank") <= k)
+    # words of the kind are counted, and a point meets those whose numbers follow its own
+    point = points.select("sent_id", "pos").distinct().select("sent_id", F.col("pos").alias("idx"), F.lit(True).alias("_p"))
+    df = toks.select("sent_id", "idx", what.alias("_w")).join(point, ["sent_id", "idx"], "full")
+    df = df.withColumn("_n", F.count_if(F.coalesce("_w", F.lit(False))).over(sentence_order().rowsBetween(Window.unboundedPreceding, 0)))
+    some = df.where("_w").select("sent_id", "idx", F.col("_n").alias("_m"))
+    rank = F.explode(F.sequence(F.lit(1), F.lit(k)))
+    here = df.where("_p").select("sent_id", F.col("idx").alias("pos"), "_n", F.coalesce("_w", F.lit(False)).cast("long").alias("_own"), rank.alias("rank"))
+    number = F.col("_n") + F.col("rank") if side == "next" else F.col("_n") - F.col("_own") - F.col("rank") + 1
+    return here.withColumn("_m", number).join(some, ["sent_id", "_m"]).select("sent_id", "pos", "idx", "rank")
 
 
 def negations_near(toks: DataFrame, negations: list[str], limit: int, mode: str = "reference") -> DataFrame:

@@ -60,6 +60,7 @@ def agg1(t: Tables):
 
 @query("agg2_frequent_itemsets", f"WITH {SETS} SELECT set_id, support FROM sets")
 def agg2(t: Tables):
+    t = t.kept()
     return _sets(t).select("set_id", "support")
 
 
@@ -70,6 +71,7 @@ def agg3(t: Tables):
 
 @query("agg4_pure_support", f"WITH {PURE} SELECT set_id, psupport FROM pure")
 def agg4(t: Tables):
+    t = t.kept()
     return itemsets.pure_support(*_occ(t))
 
 
@@ -78,6 +80,7 @@ COMPACT = PLACES + ", compact AS (SELECT o.set_id, count(*) FILTER (len(o.items)
 
 @query("agg5_compact_sentences", f"WITH {COMPACT} SELECT set_id, compact FROM compact WHERE compact >= 2")
 def agg5(t: Tables):
+    t = t.kept()
     _, occ, places = _places(t)
     return itemsets.compact_counts(occ, places).where("compact >= 2")
 
@@ -146,7 +149,7 @@ def agg14_reference(t: Tables):
     return windows.negations_between(t.toks, pairs, ["but"])
 
 
-COUNTS = """gold AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents), model AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents WHERE n_chars > 8000 UNION SELECT DISTINCT source, 'xx' FROM documents WHERE doc_id % 7 = 0),
+COUNTS = """gold AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents), model AS (SELECT DISTINCT source AS corpus, CASE WHEN text LIKE '%http%' THEN lang ELSE 'of ' || source END AS term FROM documents),
 j AS (SELECT coalesce(g.corpus, m.corpus) AS corpus, g.term AS g, m.term AS m FROM gold g FULL JOIN model m ON g.corpus = m.corpus AND g.term = m.term),
 c AS (SELECT corpus, count(*) FILTER (g IS NOT NULL AND m IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (m IS NULL) AS fn FROM j GROUP BY 1),
 pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fn) END AS r FROM c)"""
@@ -255,6 +258,7 @@ def win6_intended(t: Tables):
 
 @query("win7_compact_positions", f"WITH {PLACES} SELECT set_id, sent_id, array_to_string(idxs, ' ') AS idxs FROM places WHERE len(idxs) = 2")
 def win7(t: Tables):
+    t = t.kept()
     return _places(t)[2].where(F.size("idxs") == 2).select("set_id", "sent_id", F.array_join("idxs", " ").alias("idxs"))
 
 
@@ -360,6 +364,7 @@ def top6(t: Tables):
 
 @query("mod1b_occurrences", f"WITH {OCC} SELECT set_id, count(*) AS sentences FROM occ GROUP BY 1")
 def mod1b(t: Tables):
+    t = t.kept()
     return _occ(t)[1].groupBy("set_id").agg(F.count("*").alias("sentences"))
 
 
@@ -368,6 +373,7 @@ KEPT_C = COMPACT + ", bad AS (SELECT s.set_id FROM sets s LEFT JOIN compact c US
 
 @query("mod1c_compactness__intended", f"WITH {KEPT_C} SELECT set_id FROM sets WHERE set_id NOT IN (SELECT set_id FROM bad)")
 def mod1c(t: Tables):
+    t = t.kept()
     return itemsets.compactness_pruning(*_places(t), 40, "intended").select("set_id")
 
 
@@ -384,6 +390,7 @@ REDUNDANT = PURE + ", above AS (SELECT DISTINCT x.set_id FROM sets x JOIN sets y
 
 @query("mod1d_redundancy__intended", f"WITH {REDUNDANT.format('<')} SELECT set_id FROM sets WHERE set_id NOT IN (SELECT set_id FROM bad)")
 def mod1d(t: Tables):
+    t = t.kept()
     return itemsets.redundancy_pruning(*_occ(t), 60, "intended").select("set_id")
 
 
@@ -394,6 +401,7 @@ def mod1d_reference(t: Tables):
 
 @query("mod1e_near_adjectives__intended", f"WITH {NEAR_INTENDED} SELECT DISTINCT lemma AS word FROM near")
 def mod1e(t: Tables):
+    t = t.kept()
     _, occ, places = _places(t)
     return itemsets.near_adjectives(occ, places, t.toks, 5, "intended")
 
@@ -402,6 +410,7 @@ def mod1e(t: Tables):
 p AS (SELECT a.sent_id, n.lemma, n.word, row_number() OVER (PARTITION BY a.sent_id ORDER BY abs(n.idx - a.idx), a.idx, n.idx) AS k FROM left_over a JOIN left_over n ON a.sent_id = n.sent_id WHERE a.lemma IN (SELECT lemma FROM known) AND n.pos LIKE 'NN%')
 SELECT DISTINCT lower(lemma) AS set_id FROM p WHERE k = 1 AND lower(word) NOT IN (SELECT w FROM stop) AND lower(lemma) NOT IN (SELECT set_id FROM occ)""")
 def mod1f(t: Tables):
+    t = t.kept()
     adj = t.toks.where("pos = 'JJ'").select(F.col("lemma").alias("word")).distinct()
     return itemsets.infrequent(t.toks, _occ(t)[1], adj, _stop(t), "intended")
 
@@ -414,12 +423,14 @@ def mod1f_reference(t: Tables):
 
 @query("mod1h_surfaces", f"WITH {PLACES}, w AS (SELECT DISTINCT set_id, sent_id, idxs FROM places) SELECT DISTINCT w.set_id, a.word || coalesce(' ' || b.word, '') AS term FROM w JOIN toks a ON a.sent_id = w.sent_id AND a.idx = idxs[1] LEFT JOIN toks b ON b.sent_id = w.sent_id AND b.idx = idxs[2]")
 def mod1h(t: Tables):
+    t = t.kept()
     _, occ, places = _places(t)
     return itemsets.surfaces(occ, places, t.toks)
 
 
 @query("mod1_frequent_terms")
 def mod1(t: Tables):
+    t = t.kept()
     return itemsets.extract(t.toks, _stop(t), 0.2)
 
 
@@ -452,6 +463,7 @@ def jn15(t: Tables):
 def flagship(t: Tables):
     """Precision, recall and F of the model's terms against the nouns of benchmark items, by corpus."""
     from aspectra.sources import bridge
+    t = t.kept()
 
     sets = _sets(t).where(F.size("items") == 1).select(F.col("set_id").alias("term"))
     by = t.toks.select("corpus", F.col("lemma").alias("term")).distinct().join(sets, "term", "left_semi")

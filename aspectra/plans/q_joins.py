@@ -128,11 +128,11 @@ def top1(t: Tables):
 
 
 @query("jn9_terms_in_sentences", """WITH n AS (SELECT sent_id, idx, lower(word) || ' ' || lead(lower(word)) OVER (PARTITION BY sent_id ORDER BY idx) AS g FROM toks), g AS (SELECT g, count(*) AS c FROM n WHERE g IS NOT NULL GROUP BY 1),
-terms AS (SELECT g FROM g ORDER BY c DESC, g LIMIT 50) SELECT sent_id, g AS term, min(idx) AS start FROM n WHERE g IN (SELECT g FROM terms) GROUP BY ALL""")
+terms AS (SELECT g FROM g WHERE c > 1) SELECT sent_id, g AS term, min(idx) AS start FROM n WHERE g IN (SELECT g FROM terms) GROUP BY ALL""")
 def jn9(t: Tables):
     grams = cvalue.ngrams(t.toks, 2, 2).select("sent_id", "start", F.array_join("key", " ").alias("term"))
-    terms = grams.groupBy("term").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "term").limit(50).select("term")
-    return grams.join(F.broadcast(terms), "term", "left_semi").groupBy("sent_id", "term").agg(F.min("start").alias("start"))  # 50 terms
+    terms = grams.groupBy("term").agg(F.count("*").alias("c")).where("c > 1").select("term")
+    return grams.join(terms, "term", "left_semi").groupBy("sent_id", "term").agg(F.min("start").alias("start"))
 
 
 @query("jn10_word_pairs", """WITH w AS (SELECT sent_id, idx, lower(word) AS w FROM toks WHERE pos IN ('NN', 'NNS', 'JJ')), p AS (SELECT x.w AS e, y.w AS f FROM w x JOIN w y ON x.sent_id = y.sent_id AND x.idx <> y.idx WHERE 'JJ' = 'JJ' UNION ALL SELECT w, '' FROM w)
@@ -191,14 +191,13 @@ def jn17(t: Tables):
     return joins.zipped(t.toks.select("sent_id", "idx", "pos"), t.toks.select("sent_id", "idx", "iob")).groupBy("pos", "iob").agg(F.count("*").alias("n"))
 
 
-GOLD_MODEL = """gold AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents), model AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents WHERE n_chars > 8000 UNION SELECT DISTINCT source, 'xx' FROM documents WHERE doc_id % 7 = 0)"""
+GOLD_MODEL = """gold AS (SELECT DISTINCT source AS corpus, lang AS term FROM documents), model AS (SELECT DISTINCT source AS corpus, CASE WHEN text LIKE '%http%' THEN lang ELSE 'of ' || source END AS term FROM documents)"""
 
 
 def _gold_model(t: Tables):
-    d = t.docs.select(F.col("source").alias("corpus"), F.col("lang").alias("term"), "n_chars", "doc_id")
-    gold = d.select("corpus", "term").distinct()
-    model = d.where("n_chars > 8000").select("corpus", "term").unionByName(d.where("doc_id % 7 = 0").select("corpus", F.lit("xx").alias("term"))).distinct()
-    return gold, model
+    gold = t.docs.select(F.col("source").alias("corpus"), F.col("lang").alias("term")).distinct()
+    said = F.when(F.col("text").contains("http"), F.col("lang")).otherwise(F.concat(F.lit("of "), "source"))
+    return gold, t.docs.select(F.col("source").alias("corpus"), said.alias("term")).distinct()
 
 
 @query("jn16_model_and_gold", f"WITH {GOLD_MODEL} SELECT corpus, term, 'both' AS side FROM model SEMI JOIN gold USING (corpus, term) UNION ALL SELECT corpus, term, 'model' FROM model ANTI JOIN gold USING (corpus, term)")
@@ -243,9 +242,9 @@ def set6(t: Tables):
     return p.select(F.col("p_brand").alias("term")).unionByName(p.where("p_size > 25").select(F.col("p_brand").alias("term"))).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("fn2_strings", "SELECT doc_id, lower(source) || '|' || upper(lang) AS k, trim(replace(left(text, 60), 'e', 'E')) AS r, strpos(text, 'th') - 1 AS at, array_to_string(string_split(source, 'r'), '-') AS j FROM documents")
+@query("fn2_strings", "SELECT doc_id, lower(source) || '|' || upper(lang) AS k, trim(replace(text, 'e', 'E')) AS r, strpos(text, 'th') - 1 AS at, array_to_string(string_split(source, 'r'), '-') AS j FROM documents")
 def fn2(t: Tables):
-    return t.docs.select("doc_id", F.concat_ws("|", F.lower("source"), F.upper("lang")).alias("k"), F.trim(F.replace(F.left("text", F.lit(60)), F.lit("e"), F.lit("E"))).alias("r"), (F.instr("text", "th") - 1).alias("at"), F.array_join(F.split("source", "r"), "-").alias("j"))
+    return t.docs.select("doc_id", F.concat_ws("|", F.lower("source"), F.upper("lang")).alias("k"), F.trim(F.replace("text", F.lit("e"), F.lit("E"))).alias("r"), (F.instr("text", "th") - 1).alias("at"), F.array_join(F.split("source", "r"), "-").alias("j"))
 
 
 @query("fn3_patterns", "SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has, len(regexp_extract_all(text, '[A-Z][a-z]+', 0)) AS names, len(string_split_regex(text, '[,;]\\s*')) AS parts FROM documents")

@@ -63,11 +63,13 @@ def _propagated(t: Tables):
 
 @query("mod2j_fixpoint")
 def mod2j(t: Tables):
+    t = t.kept()
     return _propagated(t)[0]
 
 
 @query("mod2k_history")
 def mod2k(t: Tables):
+    t = t.kept()
     return propagate.first_history(_propagated(t)[1]).groupBy("kind", "rule", "round").agg(F.count("*").alias("n"))
 
 
@@ -77,20 +79,42 @@ def _signed(t: Tables):
 
 @query("mod2l_orientations")
 def mod2l(t: Tables):
+    t = t.kept()
     return propagate.orientations(_propagated(t)[1], _signed(t), t.toks)
 
 
 @query("mod2l_orientations__intended")
 def mod2l_intended(t: Tables):
+    t = t.kept()
     return propagate.orientations(_propagated(t)[1], _signed(t), t.toks, mode="intended")
 
 
 @query("agg16_review_orientations")
 def agg16(t: Tables):
+    t = t.kept()
     history = saved(_propagated(t)[1], "history")
     return propagate.review_orientations(propagate.first_history(history), t.toks, propagate.orientations(history, _signed(t), t.toks))
 
 
+@query("agg15_aspect_orientations")
+def agg15(t: Tables):
+    t = t.kept()
+    history = saved(_propagated(t)[1], "history")
+    return propagate.aspect_orientations(history, propagate.orientations(history, _signed(t), t.toks), t.toks)
+
+
+@query("mod2_aspects")
+def mod2(t: Tables):
+    t = t.kept()
+    return propagate.extract(t.toks, t.rels, _signed(t), _segments(t), percent=0.05)[0]
+
+
+@query("mod2_opinion_words__intended")
+def mod2_opinions(t: Tables):
+    t = t.kept()
+    return propagate.extract(t.toks, t.rels, _signed(t), _segments(t), percent=0.05, mode="intended")[1]
+
+
 TERM_OCC = "occ AS (SELECT lemma AS term, sent_id, idx FROM toks WHERE pos IN ('NN', 'NNS') AND lemma LIKE '%tion')"
 
 
@@ -134,6 +158,7 @@ def mod2n_intended(t: Tables):
 
 @query("mod2o_cascade")
 def mod2o(t: Tables):
+    t = t.kept()
     terms, history = _propagated(t)
     return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"))
 
@@ -149,11 +174,13 @@ phrases AS (SELECT DISTINCT m.sent_id, string_agg(lemma, ' ' ORDER BY m.idx) AS
 
 @query("mod2p_phrases", f"WITH {PHRASES} SELECT sent_id, phrase FROM phrases")
 def mod2p(t: Tables):
+    t = t.kept()
     return propagate.phrases(_term_occ(t), t.toks)
 
 
 @query("mod2p_frequent_phrases", f"WITH {PHRASES} SELECT phrase, count(DISTINCT sent_id) AS support FROM phrases GROUP BY 1 HAVING count(DISTINCT sent_id) >= (SELECT ceil(0.05 / 100 * count(DISTINCT sent_id) - 1e-9) FROM phrases)")
 def mod2p_frequent(t: Tables):
+    t = t.kept()
     return propagate.frequent_phrases(propagate.phrases(_term_occ(t), t.toks), 0.05)
 
 
@@ -178,18 +205,19 @@ def _words(t: Tables):
 
 
 def _align_pairs(t: Tables):
-    return saved(align.pairs(_words(t)), "align-pairs")
+    return align.allowed(align.pairs(saved(_words(t), "align-words")))
 
 
 @query("agg13_expected_counts", f"WITH {ALIGN}{STEP.format(n=1, m=0)} SELECT e, f, round(p, 9) AS p FROM g1")
 def agg13(t: Tables):
-    pair = _align_pairs(t)
-    return align.posteriors(pair, align.initial(pair)).groupBy("e", "f").agg(F.round(F.sum("p"), 9).alias("p"))
+    pair, words = _align_pairs(t)
+    return align.posteriors(pair, words).groupBy("e", "f").agg(F.round(F.sum("p"), 9).alias("p"))
 
 
 @query("mod3a_model1", f"WITH {ALIGN}{STEP.format(n=1, m=0)}{STEP.format(n=2, m=1)}{STEP.format(n=3, m=2)} SELECT e, f, round(c, 9) AS c FROM c3 WHERE f <> '' AND c > 1")
 def mod3a(t: Tables):
-    return align.model1(_align_pairs(t)).where("f <> '' and c > 1").select("e", "f", F.round("c", 9).alias("c"))
+    pair, words = _align_pairs(t)
+    return align.model1(pair, words=words).where("f <> '' and c > 1").select("e", "f", F.round("c", 9).alias("c"))
 
 
 PASS2 = """, t{n} AS (SELECT f, sum(c) AS total FROM c{m} GROUP BY 1), q{n} AS (SELECT i, j, l, c / sum(c) OVER (PARTITION BY j, l) AS q FROM a{m}),
@@ -203,8 +231,8 @@ a3 AS (SELECT i, j, l, sum(c) AS c FROM (SELECT * FROM a2 UNION ALL SELECT i, j,
 
 @query("mod3b_model2", f"WITH {MODEL2} SELECT sent_id, j, e, i, f FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, j ORDER BY round(p, 9) DESC, i) AS n FROM p4) WHERE n = 1")
 def mod3b(t: Tables):
-    pair = _align_pairs(t)
-    words, places = align.model2(pair, align.model1(pair, 1), 2)
+    pair, words = _align_pairs(t)
+    words, places = align.model2(pair, align.model1(pair, 1, words), 2)
     return align.best(align.posteriors(pair, words, places, False))
 
 
@@ -254,6 +282,19 @@ def mod3g(t: Tables):
     return graph.ranked(graph.confidence(graph.association(saved(_pairs(t), "pairs")), _importance(t), terms=5, mode="intended"))
 
 
+def _idf(t: Tables):
+    from aspectra.functions import strings
+
+    df = t.toks.groupBy(F.lower("word").alias("term")).agg(F.count_distinct("review_id").alias("reviews"))
+    return df.crossJoin(F.broadcast(t.docs.agg(F.count("*").alias("total")))).select("term", strings.idf(F.col("total"), F.col("reviews")).alias("idf"))  # one row
+
+
+@query("mod3_targets__intended")
+def mod3(t: Tables):
+    t = t.kept()
+    return graph.extract(t.toks, _idf(t), terms=20, mode="intended")
+
+
 @query("mod3h_alignment_matrix", f"WITH {PAIRS}, m AS (SELECT *, sum(c) OVER (PARTITION BY nn) AS a, sum(c) OVER (PARTITION BY jj) AS b FROM pairs) SELECT nn, jj, c, round(1 / (0.5 / (c / a) + 0.5 / (c / b)), 9) AS association, list_sort(s)[1] AS first_sentence, len(s)::INT AS sentences FROM m JOIN (SELECT nn, jj, list(DISTINCT sent_id) AS s FROM near WHERE k = 1 GROUP BY ALL) USING (nn, jj)")
 def mod3h(t: Tables):
     near = joins.nearest_noun(t.toks).join(t.toks.select("sent_id", "idx", F.col("lemma").alias("jj")), ["sent_id", "idx"])

@@ -96,10 +96,10 @@ def src21(t: Tables):
     return readers.tagger_columns(t.toks.groupBy("sent_id").agg(F.array_join(rows, "\n").alias("body")), ["word", "pos", "chk"])
 
 
-@query("src24_tree_repair", """WITH b AS (SELECT doc_id, '(S ' || left(text, 40) || repeat(')', (doc_id % 4)::INT) AS tree FROM documents), c AS (SELECT *, length(tree) - length(replace(tree, '(', '')) AS l, length(tree) - length(replace(tree, ')', '')) AS r FROM b)
+@query("src24_tree_repair", """WITH b AS (SELECT doc_id, '(S ' || text || repeat(')', (doc_id % 4)::INT) AS tree FROM documents), c AS (SELECT *, length(tree) - length(replace(tree, '(', '')) AS l, length(tree) - length(replace(tree, ')', '')) AS r FROM b)
 SELECT doc_id, CASE WHEN l > r THEN tree || repeat(')', l - r) WHEN r > l THEN repeat('(', r - l) || tree ELSE tree END AS tree FROM c""")
 def src24(t: Tables):
-    df = t.docs.select("doc_id", F.concat(F.lit("(S "), F.left("text", F.lit(40)), F.expr("repeat(')', int(doc_id % 4))")).alias("tree"))
+    df = t.docs.select("doc_id", F.concat(F.lit("(S "), F.col("text"), F.expr("repeat(')', int(doc_id % 4))")).alias("tree"))
     return df.select("doc_id", readers.repaired(F.col("tree")).alias("tree"))
 
 

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aspectra.functions.lineage import saved
 from aspectra.sources import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def kept(self) -> Tables:
+        """The same with tokens written: for plans that read them many times, which would split and tag all texts anew for each."""
+        self.toks = saved(self.toks, "toks")
+        return self
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -65,7 +71,7 @@ def query(name: str, sql: str | None = None):
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "sents": ((), """
 split_docs AS (SELECT source AS corpus, doc_id AS review_id, string_split_regex(text, '[.!?\\n]+') AS a FROM documents),
-sents AS (SELECT corpus, review_id, review_id * 100000 + n AS sent_id, trim(t) AS text
+sents AS (SELECT corpus, review_id, review_id * 16777216 + n AS sent_id, trim(t) AS text
   FROM (SELECT corpus, review_id, unnest(a) AS t, unnest(range(0, len(a))) AS n FROM split_docs) WHERE regexp_matches(t, '[A-Za-z]'))"""),
     "toks": (("sents",), """
 found AS (SELECT corpus, review_id, sent_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM sents),
@@ -90,8 +96,8 @@ rels AS (SELECT sent_id, head_idx, label, dep_idx, row_number() OVER (PARTITION
 bodies AS (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents),
 body AS (SELECT doc_id, source, unnest(a) AS t, unnest(range(0, len(a))) AS n FROM bodies),
 worded AS (SELECT *, regexp_extract(t, '[A-Za-z]{5,}', 0) AS w FROM body),
-lines AS (SELECT source AS corpus, doc_id * 100000 AS line_no, '[t]review ' || doc_id AS line FROM documents
-  UNION ALL SELECT source, doc_id * 100000 + 1 + n, CASE WHEN n % 7 = 6 THEN '*' || t WHEN trim(t) = '' THEN '' WHEN w = '' THEN '##' || t
+lines AS (SELECT source AS corpus, doc_id * 16777216 AS line_no, '[t]review ' || doc_id AS line FROM documents
+  UNION ALL SELECT source, doc_id * 16777216 + 1 + n, CASE WHEN n % 7 = 6 THEN '*' || t WHEN trim(t) = '' THEN '' WHEN w = '' THEN '##' || t
     WHEN n % 3 = 0 THEN lower(w) || '[+2]##' || t WHEN n % 3 = 1 THEN lower(w) || '[-1][p], ' || lower(left(w, 4)) || '[+1][u]##' || t ELSE lower(w) || '[u]##' || t END FROM worded)"""),
 }
 

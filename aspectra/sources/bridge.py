@@ -19,7 +19,7 @@ CONJUNCTIONS = ["and", "or", "but"]
 DETERMINERS = ["the", "a", "an", "this", "that"]
 PREPOSITIONS = ["of", "in", "to", "for", "on", "with", "at", "by", "from"]
 AUXILIARIES = ["is", "was", "are", "be", "had"]
-SENTENCES_A_DOCUMENT = 100_000
+SENTENCES_A_DOCUMENT = 1 << 24
 
 
 def sentences(docs: DataFrame) -> DataFrame:
