@@ -66,6 +66,19 @@ def chunks(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(order) / n))
 
 
+def _write(sink: str, text: str) -> None:
+    """Writes a file, in place of the one before: of a url into the store that it names, else on this machine."""
+    if "://" not in sink:
+        with open(sink, "w") as f:
+            f.write(text)
+        return
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def run(grid: Iterable[dict[str, Any]], corpora: list[str], model: Callable[[dict[str, Any], str], DataFrame], sink: str, every: int = 8) -> list[dict]:
     """Runs a model on each combination and corpus; its rows go to a JSON file, written again after `every` tasks.
 
@@ -75,8 +88,7 @@ def run(grid: Iterable[dict[str, Any]], corpora: list[str], model: Callable[[dic
 
     def save() -> None:
         names = sorted({k for r in out for k in r})
-        with open(sink, "w") as f:
-            json.dump({"names": names, "data": [[r.get(n) for n in names] for r in out]}, f)
+        _write(sink, json.dumps({"names": names, "data": [[r.get(n) for n in names] for r in out]}))
 
     for k, (params, corpus) in enumerate(itertools.product(grid, corpora), 1):
         try:

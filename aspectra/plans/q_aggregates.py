@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aspectra.functions.lineage import saved
-from aspectra.operators import cvalue, itemsets, joins, text, windows
+from aspectra.operators import cvalue, itemsets, joins, running, text, windows
 from aspectra.plans import evaluate, grid
 from aspectra.plans.q_sources import GOLD
 from aspectra.plans.q_text import CHUNKED
@@ -170,7 +170,7 @@ RANKED = "ranked AS (SELECT word AS term, row_number() OVER (ORDER BY n DESC, wo
 SELECT n, tp, round(tp / n, 9) AS precision, round(tp / (SELECT count(*) FROM gold), 9) AS recall FROM c""")
 def agg19(t: Tables):
     noun = t.toks.where(text.is_noun(F.col("pos"))).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
-    ranked = noun.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    ranked = running.numbered(noun, [F.desc("n"), F.col("term")])
     df = evaluate.scores_at(noun.where("term like '%tion'"), ranked)
     return df.select("n", "tp", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
@@ -218,22 +218,28 @@ def win3(t: Tables):
     return cvalue.ngrams(t.toks, 2, 3).groupBy(F.array_join("key", " ").alias("ngram")).agg(F.count("*").alias("n")).where("n > 2")
 
 
+#: Fixed patterns over `idx-POS` strings. The third means the second, as its other alternative can't match.
+CONDITIONS = {
+    1: r"(\d*-NN\D?\s)+(\d*-NN\D?\s?)",
+    2: r"(\d*-JJ\D?\s|\d*-NN\D?\s)+(\d*-NN\D?\s?)",
+    3: r"(\d*-JJ\D?\s|\d*-NN\D?\s)+(\d*-NN\D?\s?)",
+}
 SPANS = r"""tagged_sents AS (SELECT sent_id, string_agg(idx || '-' || pos, ' ' ORDER BY idx) AS tags FROM toks GROUP BY 1),
 ms AS (SELECT sent_id, trim(unnest(regexp_extract_all(tags, '{0}', 0))) AS m FROM tagged_sents),
 spans AS (SELECT sent_id, string_split(string_split(m, ' ')[1], '-')[1]::INT AS start, string_split(string_split(m, ' ')[-1], '-')[1]::INT + 1 AS stop FROM ms)"""
 
 
-@query("win4_spans_nouns", f"WITH {SPANS.format(cvalue.CONDITIONS[1])} SELECT sent_id, start, stop FROM spans")
+@query("win4_spans_nouns", f"WITH {SPANS.format(CONDITIONS[1])} SELECT sent_id, start, stop FROM spans")
 def win4_nouns(t: Tables):
     return cvalue.spans(t.toks, 1).select("sent_id", "start", "stop")
 
 
-@query("win4_spans", f"WITH {SPANS.format(cvalue.CONDITIONS[2])} SELECT sent_id, start, stop FROM spans")
+@query("win4_spans", f"WITH {SPANS.format(CONDITIONS[2])} SELECT sent_id, start, stop FROM spans")
 def win4(t: Tables):
     return cvalue.spans(t.toks, 2).select("sent_id", "start", "stop")
 
 
-@query("win4_spans_third", f"WITH {SPANS.format(cvalue.CONDITIONS[2])} SELECT count(*) AS n, sum(stop - start)::BIGINT AS words FROM spans")
+@query("win4_spans_third", f"WITH {SPANS.format(CONDITIONS[2])} SELECT count(*) AS n, sum(stop - start)::BIGINT AS words FROM spans")
 def win4_third(t: Tables):
     return cvalue.spans(t.toks, 3).agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("words"))
 
@@ -334,7 +340,7 @@ def win11(t: Tables):
 
 @query("top2_ranked_targets", f"WITH {PAIRS}, m AS (SELECT nn, sum(c)::BIGINT AS c FROM pairs GROUP BY 1) SELECT nn, c, row_number() OVER (ORDER BY c DESC, nn) AS rank FROM m")
 def top2(t: Tables):
-    return _pairs(t).groupBy("nn").agg(F.sum("c").alias("c")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "nn")))
+    return running.numbered(_pairs(t).groupBy("nn").agg(F.sum("c").alias("c")), [F.desc("c"), F.col("nn")])
 
 
 @query("top3_best_of_sentence", f"WITH {OCC} SELECT sent_id, arg_max(set_id, (support, -ord)) AS set_id FROM (SELECT o.sent_id, o.set_id, s.support, row_number() OVER (PARTITION BY o.sent_id ORDER BY o.set_id) AS ord FROM occ o JOIN sets s USING (set_id)) GROUP BY 1")
@@ -428,6 +434,16 @@ def mod1h(t: Tables):
     return itemsets.surfaces(occ, places, t.toks)
 
 
+@query("mod1a_clusters", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word, word AS cluster FROM part")
+def mod1a(t: Tables):
+    return itemsets.clusters(t.read("part").select(F.explode(F.split("p_name", " ")).alias("word")), 80)
+
+
+@query("mod1a_clusters__intended")
+def mod1a_intended(t: Tables):
+    return itemsets.clusters(t.read("part").select(F.explode(F.split("p_name", " ")).alias("word")), 80, "intended")
+
+
 @query("mod1_frequent_terms")
 def mod1(t: Tables):
     t = t.kept()
@@ -449,7 +465,7 @@ def mod4c(t: Tables):
 def mod4d(t: Tables):
     s = t.toks.where("pos = 'JJ'").select(F.col("lemma").alias("word")).distinct()
     size = max(s.count() // 9, 1)
-    df = s.withColumn("k", F.row_number().over(Window.orderBy("word")) - 1)  # a lexicon of seeds, in one order
+    df = running.numbered(s, [F.col("word")], "k").withColumn("k", F.col("k") - 1)
     return grid.chunks(df, "k", size).groupBy("chunk").agg(F.min("word").alias("first"), F.count("*").alias("n"))
 
 

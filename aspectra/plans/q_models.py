@@ -151,7 +151,15 @@ def mod2n(t: Tables):
     return propagate.phrase_pruning(_term_occ(t), t.toks)
 
 
-@query("mod2n_phrase_pruning__intended")
+#: The first place of each phrase in each sentence: (phrase, side, place of the next noun or the one before).
+_PHRASES = [(p, "after") for p in propagate.PRODUCT_PHRASES] + [(p, "before") for p in propagate.DEALER_PHRASES]
+PHRASE_SPANS = "w AS (SELECT sent_id, idx, lemma AS w0, " + ", ".join(f"lead(lemma, {k}) OVER s AS w{k}" for k in (1, 2, 3)) + " FROM toks WINDOW s AS (PARTITION BY sent_id ORDER BY idx)), spans AS (" + " UNION ALL ".join(
+    f"SELECT {n} AS phrase, '{side}' AS side, sent_id, min(idx) AS start, min(idx) + {len(p)} AS stop FROM w WHERE " + " AND ".join(f"w{k} IS NOT NULL" if x is None else f"w{k} = '{x}'" for k, x in enumerate(p)) + " GROUP BY sent_id" for n, (p, side) in enumerate(_PHRASES)
+) + """), gone AS (SELECT sent_id, min(t.idx) AS idx FROM spans s JOIN toks t USING (sent_id) WHERE side = 'after' AND t.idx >= stop AND pos LIKE 'NN%' GROUP BY phrase, sent_id
+  UNION SELECT sent_id, max(t.idx) FROM spans s JOIN toks t USING (sent_id) WHERE side = 'before' AND t.idx < start AND pos LIKE 'NN%' GROUP BY phrase, sent_id)"""
+
+
+@query("mod2n_phrase_pruning__intended", f"WITH {TERM_OCC}, {PHRASE_SPANS} SELECT term, sent_id, idx FROM occ WHERE (sent_id, idx) NOT IN (SELECT (sent_id, idx) FROM gone)")
 def mod2n_intended(t: Tables):
     return propagate.phrase_pruning(_term_occ(t), t.toks, "intended")
 
@@ -163,6 +171,12 @@ def mod2o(t: Tables):
     return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"))
 
 
+@query("mod2o_cascade__intended")
+def mod2o_intended(t: Tables):
+    terms, history = _propagated(t.kept())
+    return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"), "intended")
+
+
 PHRASES = TERM_OCC + """, points AS (SELECT DISTINCT sent_id, idx AS pos FROM occ),
 near AS (SELECT p.sent_id, p.pos, 'p' AS side, n.idx, row_number() OVER (PARTITION BY p.sent_id, p.pos ORDER BY n.idx DESC) AS r FROM points p JOIN toks n ON n.sent_id = p.sent_id AND n.idx < p.pos AND n.pos LIKE 'NN%'
   UNION ALL SELECT p.sent_id, p.pos, 'n', n.idx, row_number() OVER (PARTITION BY p.sent_id, p.pos ORDER BY n.idx) FROM points p JOIN toks n ON n.sent_id = p.sent_id AND n.idx > p.pos AND n.pos LIKE 'NN%'
@@ -277,9 +291,33 @@ def _importance(t: Tables):
     return graph.importance(df.select("term", "df"), idf)
 
 
-@query("mod3g_random_walk__intended")
+#: The walk's first five terms, as t <- S + t B; {factor}: what M Mt is multiplied by.
+_WALK_STEP = """, d{n} AS (SELECT jj, sum(v * p) AS v FROM t{m} JOIN assoc ON nn = term GROUP BY 1),
+t{n} AS (SELECT term, sum(v) AS v FROM (SELECT * FROM t0 UNION ALL SELECT nn, v * p * f FROM d{n} JOIN assoc USING (jj), fac) GROUP BY 1)"""
+WALK = PAIRS + """, df AS (SELECT lemma AS term, count(DISTINCT sent_id) AS df, count(DISTINCT review_id) AS reviews FROM toks WHERE lemma IN (SELECT nn FROM pairs) GROUP BY 1),
+m AS (SELECT *, sum(c) OVER (PARTITION BY nn) AS a, sum(c) OVER (PARTITION BY jj) AS b FROM pairs), assoc AS (SELECT nn, jj, 1 / (0.5 / (c / a) + 0.5 / (c / b)) AS p FROM m),
+ones AS (SELECT jj, sum(p) AS v FROM assoc GROUP BY 1), sums AS (SELECT nn, sum(v * p) AS s FROM ones JOIN assoc USING (jj) GROUP BY 1), fac AS (SELECT {factor} AS f FROM sums),
+t0 AS (SELECT term, df * ln((SELECT count(*) FROM documents) / greatest(reviews, 1)) AS v FROM df)""" + "".join(_WALK_STEP.format(n=k, m=k - 1) for k in range(1, 6)) + """,
+shares AS (SELECT term, round(v / (SELECT max(v) FROM t5), 9) AS share FROM t5) SELECT term, share, row_number() OVER (ORDER BY share DESC, term) AS rank FROM shares"""
+
+
+def _walk(t: Tables, mode: str):
+    from aspectra.operators.running import numbered
+
+    df = graph.confidence(graph.association(saved(_pairs(t), "pairs")), _importance(t), terms=5, mode=mode)
+    most = df.agg(F.max("confidence").alias("most"))
+    df = df.crossJoin(F.broadcast(most)).select("term", F.round(F.col("confidence") / F.col("most"), 9).alias("share"))  # one row
+    return numbered(df, [F.desc("share"), F.col("term")])
+
+
+@query("mod3g_random_walk__intended", f"WITH {WALK.replace('{factor}', '0.49::DOUBLE / greatest(max(s) * 0.7::DOUBLE, 1)')}")
 def mod3g(t: Tables):
-    return graph.ranked(graph.confidence(graph.association(saved(_pairs(t), "pairs")), _importance(t), terms=5, mode="intended"))
+    return _walk(t.kept(), "intended")
+
+
+@query("mod3g_random_walk", f"WITH {WALK.replace('{factor}', 'any_value(0.7::DOUBLE)')}")
+def mod3g_reference(t: Tables):
+    return _walk(t.kept(), "reference")
 
 
 def _idf(t: Tables):
@@ -311,7 +349,14 @@ def _nodes(t: Tables):
     return trees.nodes(trees.tree_text(t.toks))
 
 
-@query("src23_tree_nodes")
+#: Each token with its phrase's number among the root's daughters, and its own within the phrase (null outside phrases).
+IN_TREE = """numbered AS (SELECT *, (sum(CASE WHEN iob LIKE 'I-%' THEN 0 ELSE 1 END) OVER (PARTITION BY sent_id ORDER BY idx) - 1)::INT AS c FROM toks),
+placed AS (SELECT *, CASE WHEN iob <> 'O' THEN (idx - min(idx) OVER (PARTITION BY sent_id, c))::INT END AS k FROM numbered)"""
+
+
+@query("src23_tree_nodes", """WITH parts AS (SELECT 'S' AS label, false AS is_leaf, CASE WHEN bool_or(iob <> 'O') THEN 4 ELSE 3 END AS height, 0 AS depth FROM toks GROUP BY sent_id
+  UNION ALL SELECT iob[3:], false, 3, 1 FROM toks WHERE iob LIKE 'B-%' UNION ALL SELECT pos, false, 2, CASE WHEN iob = 'O' THEN 1 ELSE 2 END FROM toks UNION ALL SELECT word, true, 1, CASE WHEN iob = 'O' THEN 2 ELSE 3 END FROM toks)
+SELECT label, is_leaf, height, depth, count(*) AS n FROM parts GROUP BY ALL""")
 def src23(t: Tables):
     return _nodes(t).groupBy("label", "is_leaf", "height", "depth").agg(F.count("*").alias("n"))
 
@@ -331,12 +376,17 @@ def tre4(t: Tables):
     return trees.subtrees(_nodes(t), "NP").groupBy("sent_id").agg(F.count("*").alias("n"))
 
 
-@query("tre6_spanning_nodes")
+@query("tre3_leaf_positions", f"WITH {IN_TREE} SELECT sent_id, idx AS n, CASE WHEN k IS NULL THEN [c, 0] ELSE [c, k, 0] END AS path FROM placed")
+def tre3(t: Tables):
+    return trees.positions(_nodes(t), "leaves")
+
+
+@query("tre6_spanning_nodes", f"WITH {IN_TREE} SELECT sent_id, idx AS start, idx + 1 AS stop, [c, k, 0] AS path FROM placed WHERE pos = 'JJ'")
 def tre6(t: Tables):
     spans = t.toks.where("pos = 'JJ'").select("sent_id", F.col("idx").alias("start"), (F.col("idx") + 1).alias("stop"))
     return trees.spanning(_nodes(t), spans)
 
 
-@query("ann6_chunks_of_trees")
+@query("ann6_chunks_of_trees", "SELECT pos, iob, count(*) AS n FROM toks GROUP BY ALL")
 def ann6(t: Tables):
     return trees.chunks_of(trees.tree_text(t.toks)).groupBy("pos", "iob").agg(F.count("*").alias("n"))

@@ -96,6 +96,15 @@ def src21(t: Tables):
     return readers.tagger_columns(t.toks.groupBy("sent_id").agg(F.array_join(rows, "\n").alias("body")), ["word", "pos", "chk"])
 
 
+@query("src19_shell_text", "SELECT sent_id AS reply_id, idx, word, pos, lemma FROM toks")
+def src19(t: Tables):
+    one = F.format_string("[Text=%s CharacterOffsetBegin=%d CharacterOffsetEnd=%d PartOfSpeech=%s Lemma=%s]", "word", "idx", F.col("idx") + 1, "pos", "lemma")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("x")))), lambda v: v.x)
+    reply = F.concat(F.format_string("Sentence #1 (%d tokens):\ntext\n", F.count("*")), F.array_join(said, " "), F.lit("\n(S (X x))\n\nroot(ROOT-0, x-1)\n"))
+    found = readers.shell_text(t.toks.groupBy(F.col("sent_id").alias("reply_id")).agg(reply.alias("reply"))).where("part = 'token'")
+    return found.select("reply_id", "idx", F.get("fields", F.lit(0)).alias("word"), F.get("fields", F.lit(3)).alias("pos"), F.get("fields", F.lit(4)).alias("lemma"))
+
+
 @query("src24_tree_repair", """WITH b AS (SELECT doc_id, '(S ' || text || repeat(')', (doc_id % 4)::INT) AS tree FROM documents), c AS (SELECT *, length(tree) - length(replace(tree, '(', '')) AS l, length(tree) - length(replace(tree, ')', '')) AS r FROM b)
 SELECT doc_id, CASE WHEN l > r THEN tree || repeat(')', l - r) WHEN r > l THEN repeat('(', r - l) || tree ELSE tree END AS tree FROM c""")
 def src24(t: Tables):

@@ -316,6 +316,66 @@ def test_runner_keeps_errors(spark, tmp_path):
     assert saved["names"] == ["corpus", "error", "f", "x"] and len(saved["data"]) == 2
 
 
+def test_models_run_on_a_grid(spark, toks, tmp_path):
+    from aspectra.plans import experiments
+
+    t = toks("good/JJ phone/NN", "good/JJ phone/NN", "bad/JJ case/NN", "great/JJ case/NN").withColumn("review_id", F.col("sent_id")).withColumn("corpus", F.lit("c"))
+    rels = _edges(spark, [(1, "amod", 0)])
+    gold = spark.createDataFrame([("phone",), ("case",)], "term string")
+    seeds = spark.createDataFrame([("good", 1.0)], "term string, orientation double")
+    idf = spark.createDataFrame([("phone", 1.0), ("case", 1.0)], "term string, idf double")
+    c = experiments.Corpus(t, rels, gold, spark.createDataFrame([("the",)], "word string"), seeds, idf)
+    for model, params in (("frequent", {"support": [50.0], "compact": [0, 1]}), ("propagation", {"percent": [50.0]}), ("graph", {"terms": [2]})):
+        sink = f"file://{tmp_path}/{model}.json"
+        out = grid.run(grid.Grid(params), ["c"], experiments.runner(model, {"c": c}), sink)
+        assert not any("error" in r for r in out), out
+        import json
+
+        assert (tmp_path / f"{model}.json").exists() and json.loads((tmp_path / f"{model}.json").read_text())["data"] == [[r[n] for n in sorted(r)] for r in out]
+        if model == "propagation":
+            assert out[0]["precision"] > 0
+
+
+def test_orientations_have_signs_alone(spark, toks):
+    # two adjectives of opposite signs about phone, three about case
+    t = toks("good/JJ phone/NN", "bad/JJ phone/NN", "good/JJ case/NN", "good/JJ case/NN", "bad/JJ case/NN").withColumn("review_id", F.lit(7))
+    rels = spark.createDataFrame([(i, 1, 1, "amod", 0) for i in range(1, 6)], "sent_id long, rel_id int, head_idx int, label string, dep_idx int")
+    seeds = spark.createDataFrame([("good", 1.0), ("bad", -1.0)], "term string, orientation double")
+    _, history = propagate.propagate(t, rels, seeds)
+    for mode, want in (("reference", {"phone": -1.0, "case": -1.0}), ("intended", {"phone": -1.0, "case": 1.0})):
+        known = propagate.orientations(history, seeds, t, mode=mode)
+        assert {r.term: r.orientation for r in known.where("kind = 'aspect'").collect()} == want
+        in_review = propagate.aspect_orientations(history, known, t, mode=mode)
+        assert {(r.review_id, r.term): r.orientation for r in in_review.collect()} == {(7, "phone"): -1.0, (7, "case"): 1.0}
+
+
+def test_nearest_by_brute_force(spark, toks):
+    import random
+
+    from aspectra.operators import text, windows
+
+    rnd = random.Random(3)
+    sents = [[(f"w{i}", rnd.choice(["NN", "NNS", "JJ", "VB", "DT"])) for i in range(rnd.randint(1, 14))] for _ in range(30)]
+    t = toks(*(" ".join(f"{w}/{p}" for w, p in s) for s in sents))
+    got = {(r.sent_id, r.idx): r.noun_idx for r in joins.nearest_noun(t).collect()}
+    assert got == {(n, i): min((j for j, (_, q) in enumerate(s) if q.startswith("NN")), key=lambda j: (abs(i - j), j)) for n, s in enumerate(sents, 1) for i, (_, p) in enumerate(s) if p == "JJ" and any(q.startswith("NN") for _, q in s)}
+    spans = spark.createDataFrame([(n, a, a + 2) for n, s in enumerate(sents, 1) for a in range(0, len(s), 3)], "sent_id long, start int, stop int")
+    for mode, shift in (("reference", 1), ("intended", 0)):
+        after = {(r.sent_id, r.start): r.noun_idx for r in joins.noun_after(t, spans, mode).collect()}
+        assert after == {(n, a): k[0] for n, s in enumerate(sents, 1) for a in range(0, len(s), 3) if (k := [j for j, (_, q) in enumerate(s) if q.startswith("NN") and j >= a + 2 + shift])}
+    before = {(r.sent_id, r.start): r.noun_idx for r in joins.noun_before(t, spans).collect()}
+    assert before == {(n, a): k[-1] for n, s in enumerate(sents, 1) for a in range(0, len(s), 3) if (k := [j for j, (_, q) in enumerate(s) if q.startswith("NN") and j < a])}
+    points = spans.select("sent_id", F.col("start").alias("pos"))
+    for side in ("next", "previous"):
+        near = {(r.sent_id, r.pos, r["rank"]): r.idx for r in windows.nearest_k(t, points, 2, side).collect()}
+        want = {}
+        for n, s in enumerate(sents, 1):
+            for a in range(0, len(s), 3):
+                k = [j for j, (_, q) in enumerate(s) if q.startswith("NN") and (j > a if side == "next" else j < a)]
+                want |= {(n, a, r): j for r, j in enumerate(sorted(k, key=lambda j: abs(j - a))[:2], 1)}
+        assert near == want
+
+
 def test_running_total_across_stretches(spark):
     df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(5, 8)], "g string, o long")
     got = {(r.g, r.o): r.n for r in running.running_total(df, "g", "o", F.lit(1), "n", stretch=3).collect()}
