@@ -1,42 +1,50 @@
 """Byte-level BPE encoding and decoding as monoid tree reductions.
 
-Encoding: a text is split by the tokenizer's pattern into pieces, and each piece is encoded on its own.
-A piece is encoded by halves: both halves are encoded, and joined by encoding anew a window of bytes
-around the seam. Tokens outside that window are final when the pairs at its two edges are compatible
-(encoding the two tokens' bytes together gives these two tokens again): a sequence is the encoding of its
-bytes exactly if all its adjacent pairs are compatible. Else the window doubles; at worst it is the whole.
-
-Texts are halved, too, at seams where the pattern always starts a piece (a single blank between two
-characters that are not white space), so joining halves there is plain concatenation. Runs between such
-seams recur all the time; each worker keeps a bounded table of those that it has encoded.
-
-Decoding maps ids to bytes and concatenates up a tree of halves.
-
-Defined results: null and empty texts have no tokens and decode to no bytes. No special tokens are made.
-Ids outside the vocabulary make decoding raise KeyError. Columns `ids` and `n_tokens` of the input are replaced.
+The elements of the monoid are texts with their encodings. A text of more than LEAF characters is halved, both halves are
+encoded on their own, and the encodings are joined: a window around the boundary is encoded anew, which reaches back to
+a *seam* of the left half and ahead to a seam of the right one, and takes the place of the tokens that it covers. A
+seam is a place where a piece of the tokenizer's pattern begins whatever stands on either side of the two characters
+that make it: white space after a letter, digit or mark, a mark after a letter or digit, a digit after a letter or a letter
+after a digit. No piece crosses such a place, pieces before it are decided without what follows, and the pattern never looks back; so the
+tokens before the first seam and behind the second one are final. If there is no seam within reach, the reach doubles;
+at worst the window is all of both halves. Leaves and windows are encoded by the library's merge loop. A window of more than
+WINDOW characters is cut into its pieces first, and a piece of more than WINDOW bytes is a tree again: its halves'
+tokens are joined by encoding the tokens next to the boundary anew, ever more of them, until the pairs at the edges of that window are compatible
+(encoding the bytes of the two tokens gives these two again): tokens are the encoding of their bytes exactly if all neighbours are compatible.
+
+Decoding maps ids to bytes and concatenates halves up a tree.
+
+Defined results: null and empty texts have no tokens and decode to no bytes. Bytes that are no UTF-8 count as U+FFFD. No special tokens
+are made. Ids outside the vocabulary make decoding raise KeyError. Columns `ids` and `n_tokens` of the input are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, with_fields
+from .common import map_arrow, sliced, with_fields
 
-BASE_BYTES = 16
-#: Entries of a worker's table of encoded runs; a full one is kept as the older table, and the one before goes.
-#: It changes speed alone.
-TABLE_ROWS = 250_000
-TABLE_RUN = 64
-#: Beyond any rank.
-NONE = 1 << 60
+#: Characters of a leaf of the tree, at most, and ids of a leaf when decoding.
+LEAF, LEAF_IDS = 128, 512
+WINDOW = 1 << 16
+#: Characters on either side of a boundary that are searched for a seam at first.
+REACH = 24
+#: Letters and marks that all versions of Unicode agree on: libraries differ in the rest.
+_LETTER = (
+    "a-zA-ZÀ-ÖØ-öø-ɏΑ-Ρα-ωЀ-ҁא-תء-غف-ي"
+    "ऄ-हก-ะぁ-ゖァ-ヺ一-龥가-힣"
+)
+_MARK = r"!-/:-@\[-`{-~，。、！？：；（）「」"
+SEAM = re.compile(rf"(?<=[{_LETTER}0-9{_MARK}])(?=[ \t\n])|(?<=[{_LETTER}0-9])(?=[{_MARK}])|(?<=[{_LETTER}])(?=[0-9])|(?<=[0-9])(?=[{_LETTER}])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,143 +56,74 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes and decodes by the given ranks and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF) -> None:
         self.tokens = {i: b for b, i in ranks.items()}
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ordinary, self.merge = library.encode_ordinary, library._encode_single_piece
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.leaf = max(leaf, 1)
 
     # one piece
 
-    def merge(self, data: bytes) -> list[int]:
-        """The encoding of a few bytes, by merging the pair of lowest rank until none is left."""
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return [whole]
-        get = ranks.get
-        parts = [data[i : i + 1] for i in range(len(data))]
-        # the rank of each part with the next one; the last has none
-        pair = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
-        while pair:
-            low = min(pair)
-            if low == NONE:
-                break
-            i = pair.index(low)
-            parts[i] = joined = parts[i] + parts[i + 1]
-            del parts[i + 1], pair[i]
-            if i:
-                pair[i - 1] = get(parts[i - 1] + joined, NONE)
-            if i < len(pair):
-                pair[i] = get(joined + parts[i + 1], NONE)
-        return [ranks[p] for p in parts]
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens stay apart when their bytes are encoded together."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > TABLE_ROWS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The monoid's product: the encoding of the bytes of both."""
-        if not left or not right:
-            return left or right
-        reach = 1
+        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+
+    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of one piece, from those of its two parts."""
+        reach = 4
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
-            window = self.merge(b"".join([self.tokens[t] for t in left[a:]] + [self.tokens[t] for t in right[:b]]))
-            before, after = left[:a], right[b:]
-            if (not before or self.compatible(before[-1], window[0])) and (not after or self.compatible(window[-1], after[0])):
-                return before + window + after
+            window = self.merge(b"".join([self.tokens[t] for t in left[a:] + right[:b]]))
+            if (not a or self.compatible(left[a - 1], window[0])) and (b == len(right) or self.compatible(window[-1], right[b])):
+                return left[:a] + window + right[b:]
             reach *= 2
 
     def piece(self, data: bytes) -> list[int]:
         """The encoding of one piece, by halves."""
-        if (whole := self.ranks.get(data)) is not None:
-            return [whole]
-        if len(data) <= BASE_BYTES:
+        if len(data) <= WINDOW:
             return self.merge(data)
-        # a tree of halves without recursion: neighbours are joined level by level
-        level = [self.merge(data[i : i + BASE_BYTES]) for i in range(0, len(data), BASE_BYTES)]
-        while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
+        half = len(data) // 2
+        return self.join_tokens(self.piece(data[:half]), self.piece(data[half:]))
 
     # texts
 
-    def _pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for m in self.pattern.findall(text):
-            ids = self.pieces.get(m)
-            if ids is None:
-                ids = tuple(self.piece(m.encode()))
-                if len(m) <= TABLE_RUN:
-                    if len(self.pieces) >= TABLE_ROWS // 4:
-                        self.pieces.clear()
-                    self.pieces[m] = ids
-            out += ids
-        return out
-
-    def _run(self, run: str) -> tuple[str, int, bytes]:
-        """(ids as decimal text, how many, the bytes they decode to) of a run that starts and ends at seams and is not in the newer table."""
-        found = self.older.get(run)
-        if found is None:
-            ids = self._pieces(run)
-            found = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        if len(run) <= TABLE_RUN:
-            if len(self.runs) >= TABLE_ROWS:
-                self.older, self.runs = self.runs, {}
-            self.runs[run] = found
-        return found
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut at seams; joining the parts gives the text again."""
-        words = text.split(" ")
-        out, held = [], words[0]
-        for w in words[1:]:
-            if w and held and not w[0].isspace() and not held[-1].isspace():
-                out.append(held)
-                held = f" {w}"
-            else:
-                held = f"{held} {w}"
-        out.append(held)
-        return out if text else []
-
-    def digest(self, text: str) -> tuple[str, int, bytes]:
-        """(ids as decimal text joined by blanks, how many, the decoded bytes) of a whole text."""
-        runs, found = self.runs, []
-        for p in self.parts(text):
-            if (f := runs.get(p)) is None:
-                f = self._run(p)
-                runs = self.runs
-            found.append(f)
-        return " ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
+    def base(self, text: str) -> list[int]:
+        """The encoding of a leaf or a window."""
+        if len(text) <= WINDOW:
+            return self.ordinary(text)
+        return [i for m in self.pattern.finditer(text) for i in self.piece(m[0].encode())]
+
+    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
+        """The monoid's product: the encoding of left + right, from those of both."""
+        if not left or not right:
+            return a or b
+        reach = REACH
+        while True:
+            # a seam needs the character before it, too
+            low, high = max(0, len(left) - reach), min(len(right), reach)
+            begin = next((m.start() for m in SEAM.finditer(left, low) if m.start()), 0 if low == 0 else None)
+            end = next((m.start() for m in SEAM.finditer(right, 1, min(high + 1, len(right)))), len(right) if high == len(right) else None)
+            if begin is not None and end is not None:
+                break
+            reach *= 2
+        tail, head = self.base(left[begin:]) if begin else a, self.base(right[:end]) if end < len(right) else b
+        return a[: len(a) - len(tail)] + self.base(left[begin:] + right[:end]) + b[len(head) :]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.digest(text)[0].split()]
+        """The ids of a whole text, by halves."""
+        if len(text) <= self.leaf:
+            return self.base(text)
+        half = len(text) // 2
+        left, right = text[:half], text[half:]
+        return self.join(left, self.encode(left), right, self.encode(right))
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids: neighbours concatenated up a tree."""
-        level = [self.tokens[i] for i in ids]
-        while len(level) > 1:
-            level = [b"".join(level[i : i + 64]) for i in range(0, len(level), 64)]
-        return level[0] if level else b""
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def worker_encoder(name: str, pattern: str) -> Encoder:
-    """The encoder of this Python worker, from a file that Spark brought to it."""
-    if (name, pattern) not in _encoders:
-        gc.disable()  # the tables hold no cycles, and walking them again and again costs a fifth of the time
-        _encoders[name, pattern] = Encoder(load_ranks(SparkFiles.get(name)), pattern)
-    return _encoders[name, pattern]
+        """The bytes of ids, by halves."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join([self.tokens[i] for i in ids])
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def _ship(df: DataFrame, path: str) -> str:
@@ -200,11 +139,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     schema = with_fields(df, "n_tokens long, ids array<int>", () if keep_text else (text_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = worker_encoder(name, pattern)
+        e = Encoder(load_ranks(SparkFiles.get(name)), pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [e.encode(t or "") for t in part.column(text_col).to_pylist()]
+            for part, texts in sliced(batch, text_col):
+                ids = [e.encode(t.decode(errors="replace")) for t in texts]
                 kept = [n for n in part.schema.names if keep_text or n != text_col]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "n_tokens", "ids"])
 
@@ -217,29 +155,33 @@ def decode(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids")
     df = docs.drop("bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = worker_encoder(name, pattern)
+        e = Encoder(load_ranks(SparkFiles.get(name)), pattern)
         for batch in batches:
-            out = [e.decode(i or []) for i in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = [e.decode(i or []) for i in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "bytes"])
 
     return map_arrow(df, run, with_fields(df, "bytes binary"))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs, without the text, with n_tokens, ids_sha256 and decoded_sha256: encodes and decodes without moving ids."""
+    """docs, without the text, with n_tokens, ids_sha256 and decoded_sha256: encodes each text and decodes its ids, without moving ids."""
     name = _ship(docs, vocabulary)
     df = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
     schema = with_fields(df, "n_tokens long, ids_sha256 string, decoded_sha256 string", (text_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = worker_encoder(name, pattern)
-        hexed = lambda b: hashlib.sha256(b).hexdigest()
+        e = Encoder(load_ranks(SparkFiles.get(name)), pattern)
         for batch in batches:
-            rows = []
-            for t in batch.column(text_col).to_pylist():
-                ids, n, data = e.digest(t or "")
-                rows.append((n, hexed(ids.encode()), hexed(data)))
-            kept = [n for n in batch.schema.names if n != text_col]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in sliced(batch, text_col):
+                many, said, decoded = [], [], []
+                for t in texts:
+                    ids = e.encode(t.decode(errors="replace"))
+                    many.append(len(ids))
+                    said.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(e.decode(ids)).hexdigest())
+                kept = [n for n in part.schema.names if n != text_col]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [pa.array(many, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(df, run, schema)
