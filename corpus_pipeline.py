@@ -6,11 +6,8 @@ the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
-from aspectra.llm import bpe, components, decontaminate, langid, linededup, neardup
-from aspectra.llm.common import crc_part, saved, table
+from aspectra.llm import bpe, decontaminate, langid, linededup, neardup
+from aspectra.llm.common import crc_part, dropped, saved, table
 from aspectra.llm.queries import vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +16,7 @@ from pyspark.sql import functions as F
 LEAST_CERTAINTY = 0.3
 REST = "__aspectra_rest"
 #: (words of a shingle, similarity in percent): a pair that reaches one of them is a near copy.
-NEAR = [(5, 80), (3, 85)]
+NEAR = [neardup.Measure(5, 80), neardup.Measure(3, 85)]
 
 
 def _sealed(docs: DataFrame, *used: str) -> DataFrame:
@@ -56,11 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents are linked if they are near by either measure of NEAR: an added passage may reach only the lower bound of the longer
     shingles, words changed here and there only that of the shorter ones.
     """
-    found = [saved(neardup.classes(docs.select("doc_id", "text"), size=size, percent=percent).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")), "near") for size, percent in NEAR]
-    both = reduce(DataFrame.unionByName, found)
-    # rows of one doc_id may be in several classes, which they don't tie together
-    part = components.components(both.where("lo = hi").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
-    gone = both.select("doc_id").union(part.where("id <> component").select("id")).distinct()
+    found = neardup.classes_by_any(docs.select("doc_id", "text"), NEAR).where("not kept and doc_id is not null")
+    # rows of one doc_id may be in several classes: it goes as a whole, as one document
+    gone = saved(found.select("doc_id").distinct(), "near")
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -90,7 +85,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{uuid.uuid4().hex[:8]}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), "stage")
+        dropped(before)
+        before = docs
     return docs
