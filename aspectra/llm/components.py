@@ -1,36 +1,5 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from aspectra.functions.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import dropped, saved
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): for every id of a link, the smallest id that can be reached; ids without links have no row.
-
-    Each round gives neighbours of an id the smallest id around it. Minima are aggregated before they
-    are shuffled, links join them by key (skewed keys can be split), and each round is written to the
-    shared folder, so neither lineage nor the driver grows. An empty link table gives no rows.
-    """
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = saved(e, "links")
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: higher neighbours of u go to the smallest id around u
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its lower neighbours go to the smallest of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        before = e
-        e = saved(large.join(small, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
-        dropped(before)
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if mark == tuple(now):
-            break
-        mark = tuple(now)
-    ends = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return ends.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
+__all__ = ["components"]

@@ -79,6 +79,13 @@ def test_decontaminate_empty_tables(spark, bench):
     assert decontaminate.decontaminate(one, bench.limit(0)).first().n_hit == 0
 
 
+def test_decontaminate_very_long_text(spark, bench):
+    text = "é word " * 100_000 + "Alpha, beta; GAMMA " + "x " * 100_000
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = decontaminate.decontaminate(one, bench).first()
+    assert (r.n_words, r.n_hit, list(r["items"])) == (300_003, 3, ["1"]) and text[r.hit_spans[0].start : r.hit_spans[0].end] == "Alpha, beta; GAMMA"
+
+
 # line dedup
 
 
@@ -148,6 +155,73 @@ def test_equal_ids_are_one_document(spark):
     assert linededup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_each_text_of_a_repeated_id_loses_its_own_lines(spark):
+    a, b = f"unique words of row a here\n{LINE}\nand more of row a here", "first line of row b here\nIMPORTANT unique content of row b here\nlast of it all here"
+    df = spark.createDataFrame([(1, LINE), (2, a), (2, b), (2, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in linededup.drop_lines(df).collect())
+    cut = "unique words of row a here\nand more of row a here"
+    assert got == [(1, LINE, 0), (2, b, 0), (2, cut, 1), (2, cut, 1)]
+
+
+def test_very_many_lines(spark):
+    long = "\n".join(f"{LINE} number {i} and word x{'abcdefghij'[i % 10]}" for i in range(30_000)) + "\nthe end of this one is its own"
+    df = spark.createDataFrame([(1, long), (2, long + "\nmore words stand in the copy")], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.drop_lines(df).collect()}
+    assert got[1].n_dropped == 0 and got[2].text == "more words stand in the copy" and got[2].n_dropped == 30_001
+
+
+def brute_lines(rows):
+    """The texts that drop_lines leaves, by definition; rows: (doc_id, text) with distinct ids."""
+
+    def tokens(line):
+        low = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        return [None if re.search("[0-9]", w) else w for w in low], low
+
+    docs_of, at = {}, {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            masked, low = tokens(line)
+            if masked:
+                key = tuple(masked) if len(masked) >= 4 and 2 * masked.count(None) <= len(masked) else ("own", *low)
+                docs_of.setdefault(key, set()).add(i)
+                at[i, k] = (key, masked)
+    first = {key: min(d) for key, d in docs_of.items() if len(d) > 1}
+    leaves = {}
+    for key, masked in set((key, tuple(m)) for key, m in at.values()):
+        if len(masked) >= 4:
+            leaves.setdefault((len(masked), masked[:3]), set()).add((key, masked))
+    for lines in leaves.values():
+        count = {}
+        plain = [(key, m) for key, m in lines if 2 * sum(x is not None for x in m) >= len(m)]
+        for _, m in plain:
+            for p, x in enumerate(m):
+                count[p, x] = count.get((p, x), 0) + 1
+        shared = {}
+        for key, m in plain:
+            constant = tuple((p, x) for p, x in enumerate(m) if x is not None and count[p, x] >= 3)
+            if len(constant) >= 0.8 * sum(x is not None for x in m):
+                shared.setdefault(constant, []).append(key)
+        for constant, keys in shared.items():
+            seen = set().union(*(docs_of[k] for k in keys))
+            if constant and len(keys) >= 3 and len(seen) > 1:
+                for k in keys:
+                    first[k] = min(first.get(k, min(seen)), min(seen))
+    return {i: "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in at or first.get(at[i, k][0], i) == i) for i, t in rows}
+
+
+def test_line_query_brute_force(spark, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert {r.doc_id: r.text for r in queries.op2_line_dedup(spark, DATA).collect()} == brute_lines(rows)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["the", "cat", "dog", "sat", "on", "a", "mat", "7", "x1"]), min_size=1, max_size=6).map(" ".join), min_size=1, max_size=40))
+def test_generalised_templates_property(spark, found):
+    rows = [(i % 7, "\n".join(found[i::7])) for i in range(min(7, len(found)))]
+    got = {r.doc_id: r.text for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_exact_templates_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.text for r in linededup.drop_lines(docs).collect()}
@@ -175,10 +249,41 @@ def test_dictionaries_learn_from_the_whole_of_long_texts():
     rnd = random.Random(4)
     texts = ["".join(rnd.choice("abcdefgh ") for _ in range(40_000)) + " late words that only the end has" * 2_000 for _ in range(20)]
     assert b"late words that only the end has" in quality.dictionary([t.encode() for t in texts])
-    for n in (0, 1, 512, 513, quality.LEARN_BYTES, quality.LEARN_BYTES + 1, 1_000_000):
-        at = quality.spread(n)
-        assert len(at) == len(set(at)) == min(-(-n // quality.CHUNK), quality.LEARN_BYTES // quality.CHUNK) and all(0 <= i < n for i in at)
-        assert not at or n - at[-1] <= quality.CHUNK
+    few = quality.chunks([t.encode() for t in texts], 100)
+    assert len(few) == 100 and any(b"late words" in c for c in few) and len(quality.chunks([b"x" * 1025])) == 3 and quality.chunks([b""]) == []
+
+
+def test_labels_far_behind_in_long_texts_are_learned(spark):
+    rnd = random.Random(6)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    words = {1: "calm orderly sentences stand behind the noise here ", 0: "%%% buy !! cheap ## pills $$ now && click "}
+    rows = [(i, noise(40_000) + words[i % 2] * 400) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    model = quality.train(docs.where("doc_id < 30"), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int"))
+    assert all(r.predicted == r.doc_id % 2 for r in quality.score(docs, model, threshold=0.5).collect())
+
+
+def brute_difference(text, model):
+    import zstandard
+
+    sizes = []
+    for d in (model.good, model.bad):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(text[i : i + quality.CHUNK])) for i in range(0, len(text), quality.CHUNK)))
+    return (sizes[1] - sizes[0]) / max(sizes) if text else 0.0
+
+
+def test_quality_query_brute_force(spark):
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    model = quality.train(docs, labels.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0"))
+    for r in queries.op9_quality(spark, DATA).collect():
+        want = 1 / (1 + math.exp(-(model.slope * brute_difference(texts[r.doc_id], model) + model.bias)))
+        assert r.held_out == held[r.doc_id] and r.score == pytest.approx(want) and r.predicted == int(want >= 0.3)
 
 
 # encoding
@@ -202,18 +307,38 @@ def test_encoding_equals_the_library(coders, text):
     assert own.decode(own.encode(text)) == text.encode()
 
 
-def test_long_piece(coders):
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("ab \n\t'slve中，0.-•", max_size=120)), st.integers(1, 9))
+def test_trees_of_small_leaves_equal_the_library(coders, text, leaf):
     own, library = coders
-    rnd = random.Random(3)
-    text = "".join(rnd.choice("abcde") for _ in range(50_000))
-    assert own.encode(text) == library.encode_ordinary(text)
+    text = text.encode("utf-8", "ignore").decode()
+    small = bpe.Encoder(bpe.load_ranks(vocabulary()[0]), vocabulary()[1], leaf) if leaf not in _SMALL else _SMALL[leaf]
+    _SMALL[leaf] = small
+    assert small.encode(text) == library.encode_ordinary(text)
+
+
+_SMALL: dict[int, bpe.Encoder] = {}
 
 
-def test_tables_may_fill(coders, monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_ROWS", 8)
+@pytest.mark.parametrize("window", [64, 1 << 16])
+@pytest.mark.parametrize("letters", ["abcde", "a", " ", "\n", "中", "^", "a. "])
+def test_long_texts_without_seams(coders, monkeypatch, window, letters):
+    monkeypatch.setattr(bpe, "WINDOW", window)
     own, library = coders
-    text = " ".join(f"word{i} and{i % 3}" for i in range(500))
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(letters) for _ in range(20_000))
     assert own.encode(text) == library.encode_ordinary(text)
+    assert own.decode(own.encode(text)) == text.encode()
+
+
+def test_encoding_query_equals_the_library_on_the_whole_table(spark, coders):
+    _, library = coders
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op4_bpe(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
 def test_encode_and_decode_frames(spark):
@@ -222,6 +347,7 @@ def test_encode_and_decode_frames(spark):
     e = bpe.encode(df, path, pattern)
     assert e.columns == ["doc_id", "text", "n_tokens", "ids"]
     assert {r.doc_id: bytes(r.bytes) for r in bpe.decode(e, path, pattern).collect()} == {1: b"Hello  world\n", 2: b"", 3: b""}
+    assert bpe.digests(df.limit(0), path, pattern).count() == bpe.encode(df.limit(0), path, pattern).count() == 0
     d = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.digests(df, path, pattern).collect()}
     assert d[1] == (4, hashlib.sha256(b"Hello  world\n").hexdigest()) and d[2] == d[3] == (0, hashlib.sha256(b"").hexdigest())
 
@@ -248,6 +374,57 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_many_languages_are_learned(spark):
+    names = [f"l{i:03d}" for i in range(250)]
+    rows = [(1000 * i + k, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i) * 5} ab", n) for i, n in enumerate(names) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs.where("doc_id % 1000 = 0"), langid.train(docs)).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 245 and len({r.lang_pred for r in got}) >= 245
+
+
+def test_language_query_brute_force(spark):
+    """Features, weights and temperature by plain loops over dictionaries, from the same sample (all rows: none is left out)."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = langid.train(docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2"))
+
+    def brute(text):
+        import numpy as np
+
+        low = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (text or "").lower())
+        low = re.sub(" +", " ", " ".join(["", low, ""]))[1:]
+        g = langid.grams([text]).bucket
+        n = {k: [low[i : i + k] for i in range(len(low) - k + 1)] for k in (1, 2, 3)}
+        assert abs(len(g) - sum(len([x for x in v if k > 1 or x != " "]) for k, v in n.items())) <= 3
+        z = np.zeros(len(model.languages))
+        for b in g:
+            z += model.weights[b] / len(g)
+        p = np.exp((z - z.max()) / model.temperature)
+        return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+    for r in queries.op7_language(spark, DATA).collect():
+        assert r.held_out == held[r.doc_id]
+        if not re.search(r"[^\W\d_]", texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            lang, score = brute(texts[r.doc_id])
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+
+
+def test_language_repeated_ids_ties_and_long_texts(spark):
+    rows = [(1, "aaa bbb", "x"), (1, "ccc ddd", "y"), (1, "ccc ddd", "y"), (2, "aaa", "y"), (2, "aaa", "x"), (3, "aaa bbb " * 100_000, "x"), (4, "ccc ddd " * 100_000, "y")]
+    docs = spark.createDataFrame([(*r, "l", 0, 0) for r in rows], "doc_id long, text string, lang string, lang_pred string, h int, n int")
+    model = langid.train(docs)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got if r.doc_id != 2)
+    same = [(i, "zzz", lang) for i in range(40) for lang in ("p", "q")]
+    tied = langid.predict(docs, langid.train(spark.createDataFrame(same, "doc_id long, text string, lang string"))).select("lang_pred", "score").distinct().collect()
+    assert all(r.score <= 1 for r in tied)
+    even = langid.Model(["p", "q"], __import__("numpy").zeros((langid.BUCKETS, 2), "float32"), __import__("numpy").zeros(2), 1.0)
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, even).collect()} == {("p", 0.5)}
+
+
 def test_grams_do_not_cross_texts():
     a, b = langid.grams(["ab", "cd"]), [langid.grams([t]) for t in ("ab", "cd")]
     for i in (0, 1):
@@ -267,6 +444,14 @@ def test_quality_held_out(spark):
     assert sum(right) / len(right) > 0.85 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_quality_repeated_ids_and_long_texts(spark):
+    rows = [(i, ("good calm words " if i % 2 else "%% buy now ## ") * (1 + i)) for i in range(40)] + [(1, "good calm words again"), (1, "good calm words again"), (99, "good calm words " * 100_000)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, h double")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    got = quality.score(docs, model, threshold=0.5).collect()
+    assert len(got) == len(rows) and next(r for r in got if r.doc_id == 99).predicted == 1
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "good words in a row"), (2, None), (3, ""), (None, "x"), (4, "bad %% $$ ##"), (4, "bad %% $$ ##")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (2, None), (9, 1)], "doc_id long, quality int")
