@@ -33,16 +33,35 @@ def exact_terms(toks: DataFrame, terms: DataFrame) -> DataFrame:
     return toks.join(terms.select(F.col("term").alias("lemma")).distinct(), "lemma", "left_semi")
 
 
-def fuzzy_terms(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
-    """(word, term, ratio): for each word the most similar of terms (word, ord) at a ratio of `least` or more; the first of equals.
+#: Letters from rare to common; others come before them.
+_RARITY = "qxzjkvbpygfwmucldrhsnioate"
+
+
+def _prefix(word: Column, least: float) -> Column:
+    """The rarest of a word's letters, counted (the second e is another one), of which any word at a ratio of `least` or more has one, too.
 
-    Words meet terms by every length that can reach the ratio, never all with all.
+    Such a word has at least k = length * least / (2 - least) of them in common with this one, in whatever order: one of the first length - k + 1 of
+    either word, in one order for all, is among them.
     """
-    low, high = F.ceil(F.length("word") * least / (2 - least) - 1e-9), F.floor(F.length("word") * (2 - least) / least + 1e-9)
-    w = words.select("word").distinct().withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-    pairs = w.join(terms.select(F.col("term"), "ord", F.length("term").cast("long").alias("n")), "n")
-    scored = pairs.withColumn("ratio", strings.ratio(F.col("word"), F.col("term"))).where(F.col("ratio") >= least)
-    return scored.groupBy("word").agg(F.max_by(F.struct("term", "ratio"), F.struct("ratio", -F.col("ord"))).alias("b")).select("word", "b.term", "b.ratio")
+    letters = F.split(word, "")
+    counted = F.transform(letters, lambda c, i: F.struct(F.instr(F.lit(_RARITY), c).alias("r"), F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")).alias("x")))
+    size = F.length(word) - F.ceil(F.length(word) * least / (2 - least) - 1e-9) + 1
+    return F.transform(F.slice(F.array_sort(counted), 1, F.greatest(size, F.lit(1)).cast("int")), lambda v: v.x)
+
+
+def _alike(words: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio) of words (a) and others (b, with any more columns) at a ratio of `least` or more: they meet at a length that can reach it and a rare letter."""
+    low, high = F.ceil(F.length("a") * least / (2 - least) - 1e-9), F.floor(F.length("a") * (2 - least) / least + 1e-9)
+    x = words.select("a").distinct().where(F.length("a") > 0).select("a", F.explode(_prefix(F.col("a"), least)).alias("x"))
+    x = x.withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
+    y = others.select("b").distinct().where(F.length("b") > 0).select("b", F.length("b").cast("long").alias("n"), F.explode(_prefix(F.col("b"), least)).alias("x"))
+    return x.join(y, ["n", "x"]).select("a", "b").distinct().withColumn("ratio", strings.ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+
+
+def fuzzy_terms(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
+    """(word, term, ratio): for each word the most similar of terms (term, ord) at a ratio of `least` or more; the first of equals."""
+    scored = _alike(words.select(F.col("word").alias("a")), terms.select(F.col("term").alias("b")), least).join(terms.select(F.col("term").alias("b"), "ord"), "b")
+    return scored.groupBy(F.col("a").alias("word")).agg(F.max_by(F.struct(F.col("b").alias("term"), "ratio"), F.struct("ratio", -F.col("ord"))).alias("t")).select("word", "t.term", "t.ratio")
 
 
 def contained_sets(sets: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -130,8 +149,5 @@ def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(words: DataFrame, least: float) -> DataFrame:
-    """(a, b, ratio): pairs a < b of different words at a ratio of `least` or more; words meet by the lengths that can reach it."""
-    low, high = F.ceil(F.length("a") * least / (2 - least) - 1e-9), F.floor(F.length("a") * (2 - least) / least + 1e-9)
-    x = words.select(F.col("word").alias("a")).distinct().withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-    y = words.select(F.col("word").alias("b")).distinct().withColumn("n", F.length("b").cast("long"))
-    return x.join(y, "n").where("a < b").withColumn("ratio", strings.ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    """(a, b, ratio): pairs a < b of different words at a ratio of `least` or more."""
+    return _alike(words.select(F.col("word").alias("a")), words.select(F.col("word").alias("b")), least).where("a < b")

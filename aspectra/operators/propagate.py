@@ -1,7 +1,7 @@
 """The propagation model: aspects and opinion words found from each other along dependency edges.
 
 Edges are (sent_id, rel_id, head_idx, label, dep_idx); the root is head -1 and counts as a head. Terms are compared by their
-lemma, exactly: under every setting in use the reference behaviour of matching is equality.
+lemma: exactly, which under every setting in use is the reference behaviour, or by similarity (`match`).
 """
 
 from __future__ import annotations
@@ -44,6 +44,13 @@ def _found(df: DataFrame, kind: str, rule: str, known: str, known_idx: str, term
     return df.select(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), "sent_id", F.col(term).alias("term"), F.col(idx).alias("idx"), F.col(known).alias("origin"), F.col(known_idx).alias("origin_idx"))
 
 
+def matching(known: DataFrame, words: DataFrame, match: float) -> DataFrame:
+    """(term): the words (lemma) of the corpus that match known terms: equal ones, or (match under 1) those at that ratio or more."""
+    if match >= 1:
+        return known.select("term").distinct()
+    return joins.fuzzy_terms(words.select(F.col("lemma").alias("word")), known.select("term", F.lit(0).alias("ord")).distinct(), match).select(F.col("word").alias("term"))
+
+
 def apply_rule(rule: str, edges: DataFrame, siblings: DataFrame, known: DataFrame) -> DataFrame:
     """(kind, rule, sent_id, term, idx, origin, origin_idx): what a rule finds from known terms (one column, term).
 
@@ -67,26 +74,26 @@ def apply_rule(rule: str, edges: DataFrame, siblings: DataFrame, known: DataFram
     return _found(df, "aspect" if rule in ("1_2", "3_2") else "opinion", rule, "k_term", "k", "d_term", "d")
 
 
-def propagate(toks: DataFrame, rels: DataFrame, seeds: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(terms, history) at the fixpoint, or after `most` rounds.
+def propagate(toks: DataFrame, rels: DataFrame, seeds: DataFrame, most: int = 20, match: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(terms, history) at the fixpoint, or after `most` rounds. match: the least ratio at which a word counts as a known term; 1 is equality, the reference behaviour.
 
     terms: (kind, term, round), round 0 for seeds. history: what rules found, with its round and the order of the rule.
     A round takes all opinion words through 1 and 4, then the aspects that this gave (known ones too) through 3 and 2.
     """
     edges = saved(labelled(toks, rels), "edges")
     sib = saved(sibling_edges(edges), "siblings")
-    words = toks.select("lemma").distinct()
+    words = saved(toks.select("lemma").distinct(), "lemmata")
     terms = saved(seeds.select(F.lit("opinion").alias("kind"), "term", F.lit(0).alias("round")).distinct().join(words, F.col("term") == F.col("lemma"), "left_semi"), "terms")
     history = None
     for k in range(1, most + 1):
-        opinion = terms.where("kind = 'opinion'")
+        opinion = matching(terms.where("kind = 'opinion'"), words, match)
         rules = [("1_1", 0), ("1_2", 1), ("4_1", 2), ("4_2", 3)]
         first = None
         for r, n in rules:
             f = apply_rule(r, edges, sib, opinion).withColumn("ord", F.lit(n))
             first = f if first is None else first.unionByName(f)
         first = saved(first, "phase1")
-        aspect = first.where("kind = 'aspect'")
+        aspect = matching(first.where("kind = 'aspect'"), words, match)
         second = None
         for r, n in (("3_1", 4), ("3_2", 5), ("2_1", 6), ("2_2", 7)):
             f = apply_rule(r, edges, sib, aspect).withColumn("ord", F.lit(n))
@@ -157,14 +164,14 @@ def aspect_orientations(history: DataFrame, known: DataFrame, toks: DataFrame, l
     return v.groupBy("review_id", "term").agg(_sign(F.coalesce(F.sum(F.col("v") * F.col("turn")), F.lit(0.0))).alias("orientation"))
 
 
-def extract(toks: DataFrame, rels: DataFrame, seeds: DataFrame, segments: DataFrame | None = None, nouns: int = 2, adjectives: int = 1, limit: int = 5, percent: float = 2.0, mode: str = "reference", most: int = 20) -> tuple[DataFrame, DataFrame]:
+def extract(toks: DataFrame, rels: DataFrame, seeds: DataFrame, segments: DataFrame | None = None, nouns: int = 2, adjectives: int = 1, limit: int = 5, percent: float = 2.0, mode: str = "reference", most: int = 20, match: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The whole model: (aspects (aspect, kind, support), opinion words (term, orientation)).
 
     seeds: (term, orientation). segments: (sent_id, start, stop), the clauses that a parser found. Terms are propagated to the fixpoint; occurrences
     are pruned by clause and by phrase; terms that lose all of them go, and what only they had found goes with them (cascade); aspects of several
     words are made of the rest. kind is term or phrase, support counts sentences.
     """
-    terms, history = propagate(toks, rels, seeds, most)
+    terms, history = propagate(toks, rels, seeds, most, match)
     found = saved(history.where("kind = 'aspect'").select("term", "sent_id", "idx").distinct(), "occurrences")
     segments = toks.sparkSession.createDataFrame([], "sent_id long, start int, stop int") if segments is None else segments
     held = saved(phrase_pruning(clause_pruning(found, segments, toks, mode), toks, mode), "held")

@@ -57,17 +57,70 @@ def mod2i(t: Tables):
     return joins.exact_terms(t.toks, seeds).select(F.col("lemma").alias("term")).distinct()
 
 
+#: Rounds that the SQL has; the fixpoint comes earlier.
+ROUNDS = 10
+_KIND = {"1": "aspect", "2": "opinion", "3": "aspect", "4": "opinion"}
+
+
+def _found_sql(rule: str, n: int, k: int, known: str) -> str:
+    """What a rule finds in round k from known terms, with where it is and where it came from."""
+    term, source, where = RULES[rule]
+    idx, origin, at = ("h", "d_term", "d") if rule == "1_1" else ("d", "k_term", "k") if source == "sib" else ("d", "h_term", "h")
+    where = where.replace("(SELECT term FROM o)", known).replace("(SELECT term FROM a)", known)
+    return f"SELECT '{_KIND[rule[0]]}' AS kind, '{rule}' AS rule, {n} AS ord, sent_id, {term} AS term, {idx} AS idx, {origin} AS origin, {at} AS origin_idx, {k} AS round FROM {source} WHERE {where}"
+
+
+def _round_sql(k: int) -> str:
+    first = " UNION ALL ".join(_found_sql(r, n, k, f"(SELECT term FROM t{k - 1} WHERE kind = 'opinion')") for n, r in enumerate(("1_1", "1_2", "4_1", "4_2")))
+    second = " UNION ALL ".join(_found_sql(r, n, k, f"(SELECT term FROM f{k} WHERE kind = 'aspect')") for n, r in enumerate(("3_1", "3_2", "2_1", "2_2"), 4))
+    return f"""f{k} AS MATERIALIZED ({first}), g{k} AS MATERIALIZED ({second}),
+t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} UNION ALL SELECT DISTINCT kind, term, {k} FROM (SELECT kind, term FROM f{k} UNION ALL SELECT kind, term FROM g{k}) ANTI JOIN t{k - 1} USING (kind, term))"""
+
+
+PROPAGATED = EDGES.replace("labelled AS (", "labelled AS MATERIALIZED (").replace("sib AS (", "sib AS MATERIALIZED (") + ", t0 AS MATERIALIZED (SELECT 'opinion' AS kind, term, 0 AS round FROM o), " + ", ".join(_round_sql(k) for k in range(1, ROUNDS + 1)) + f""",
+history AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM {x}{k}" for k in range(1, ROUNDS + 1) for x in "fg")}),
+finds AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, term, sent_id, idx ORDER BY round, ord, origin_idx, origin) AS n FROM history) WHERE n = 1)"""
+_SOURCE = "CASE WHEN substr(rule, 1, 1) IN ('1', '4') THEN 'opinion' ELSE 'aspect' END"
+_NEGATION = "lower(word) IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in propagate.NEGATIONS) + ")"
+
+
+def _oriented_sql(mode: str) -> str:
+    """The first findings with whether negations turn them, and the orientations of all terms, round by round."""
+    after, value = (4, "arg_max(v * turn, (sent_id, idx))") if mode == "reference" else (5, "sum(v * turn)")
+    between = "0" if mode == "reference" else f"(SELECT count(*) FROM toks w WHERE w.sent_id = x.sent_id AND w.idx >= least(x.idx, x.origin_idx) AND w.idx < greatest(x.idx, x.origin_idx) AND {_NEGATION})"
+    steps, n = [], 0
+    for k in range(1, ROUNDS + 1):
+        for phase in ("('1', '4')", "('3', '2')"):
+            n += 1
+            steps.append(f"""known{n} AS MATERIALIZED (SELECT * FROM known{n - 1} UNION ALL SELECT kind, term, CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END FROM
+  (SELECT x.kind, x.term, {value} AS v FROM turned x JOIN known{n - 1} y ON y.kind = x.source AND y.term = x.origin WHERE round = {k} AND substr(rule, 1, 1) IN {phase} GROUP BY x.kind, x.term) ANTI JOIN known{n - 1} USING (kind, term))""")
+    return f"""{PROPAGATED}, near AS MATERIALIZED (SELECT sent_id, idx AS origin_idx, count(*) FILTER ({_NEGATION}) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND {after} FOLLOWING) AS near FROM toks),
+turned AS MATERIALIZED (SELECT x.*, {_SOURCE} AS source, CASE WHEN substr(rule, 1, 1) IN ('1', '2') THEN CASE WHEN near > 0 THEN -1 ELSE 1 END WHEN {between} % 2 = 1 THEN -1 ELSE 1 END AS turn FROM finds x LEFT JOIN near USING (sent_id, origin_idx)),
+known0 AS MATERIALIZED (SELECT 'opinion' AS kind, term, CASE WHEN term LIKE '%less' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM o), {", ".join(steps)}, known AS (SELECT * FROM known{n})"""
+
+
+ORIENTED, ORIENTED_INTENDED = _oriented_sql("reference"), _oriented_sql("intended")
+
+
+def _cascade_sql(levels: int) -> str:
+    """Terms without pruned ones and those that only they had found."""
+    steps = ", ".join(f"""lost{k} AS MATERIALIZED (SELECT * FROM lost{k - 1} UNION SELECT kind, term FROM (SELECT DISTINCT kind, term FROM h) ANTI JOIN (SELECT kind, term FROM h WHERE NOT EXISTS (SELECT 1 FROM lost{k - 1} l WHERE l.kind = h.source AND l.term = h.origin)) USING (kind, term)
+  ANTI JOIN t0 USING (kind, term))""" for k in range(1, levels + 1))
+    return f"""WITH {PROPAGATED}, h AS MATERIALIZED (SELECT DISTINCT kind, term, {_SOURCE} AS source, origin FROM history),
+lost0 AS (SELECT kind, term FROM t{ROUNDS} WHERE kind = 'aspect' AND term LIKE '%ing'), {steps} SELECT kind, term FROM t{ROUNDS} ANTI JOIN lost{levels} USING (kind, term)"""
+
+
 def _propagated(t: Tables):
     return propagate.propagate(t.toks, t.rels, _known(t, "o"))
 
 
-@query("mod2j_fixpoint")
+@query("mod2j_fixpoint", f"WITH {PROPAGATED} SELECT kind, term, round FROM t{ROUNDS}")
 def mod2j(t: Tables):
     t = t.kept()
     return _propagated(t)[0]
 
 
-@query("mod2k_history")
+@query("mod2k_history", f"WITH {PROPAGATED} SELECT kind, rule, round, count(*) AS n FROM finds GROUP BY ALL")
 def mod2k(t: Tables):
     t = t.kept()
     return propagate.first_history(_propagated(t)[1]).groupBy("kind", "rule", "round").agg(F.count("*").alias("n"))
@@ -77,26 +130,28 @@ def _signed(t: Tables):
     return _known(t, "o").withColumn("orientation", F.when(F.col("term").like("%less"), -1.0).otherwise(1.0))
 
 
-@query("mod2l_orientations")
+@query("mod2l_orientations", f"WITH {ORIENTED} SELECT kind, term, v AS orientation FROM known")
 def mod2l(t: Tables):
     t = t.kept()
     return propagate.orientations(_propagated(t)[1], _signed(t), t.toks)
 
 
-@query("mod2l_orientations__intended")
+@query("mod2l_orientations__intended", f"WITH {ORIENTED_INTENDED} SELECT kind, term, v AS orientation FROM known")
 def mod2l_intended(t: Tables):
     t = t.kept()
     return propagate.orientations(_propagated(t)[1], _signed(t), t.toks, mode="intended")
 
 
-@query("agg16_review_orientations")
+@query("agg16_review_orientations", f"""WITH {ORIENTED}, said AS (SELECT DISTINCT sent_id, term FROM finds WHERE kind = 'opinion')
+SELECT review_id, CASE WHEN sum(v) > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS orientation FROM said JOIN known ON known.term = said.term AND known.kind = 'opinion' JOIN (SELECT DISTINCT review_id, sent_id FROM toks) USING (sent_id) GROUP BY 1""")
 def agg16(t: Tables):
     t = t.kept()
     history = saved(_propagated(t)[1], "history")
     return propagate.review_orientations(propagate.first_history(history), t.toks, propagate.orientations(history, _signed(t), t.toks))
 
 
-@query("agg15_aspect_orientations")
+@query("agg15_aspect_orientations", f"""WITH {ORIENTED}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, term ORDER BY round, idx) AS r FROM turned WHERE kind = 'aspect') WHERE r = 1)
+SELECT review_id, one.term, CASE WHEN coalesce(sum(v * turn), 0) > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS orientation FROM one LEFT JOIN known ON known.kind = one.source AND known.term = one.origin JOIN (SELECT DISTINCT review_id, sent_id FROM toks) USING (sent_id) GROUP BY ALL""")
 def agg15(t: Tables):
     t = t.kept()
     history = saved(_propagated(t)[1], "history")
@@ -164,14 +219,14 @@ def mod2n_intended(t: Tables):
     return propagate.phrase_pruning(_term_occ(t), t.toks, "intended")
 
 
-@query("mod2o_cascade")
+@query("mod2o_cascade", _cascade_sql(1))
 def mod2o(t: Tables):
     t = t.kept()
     terms, history = _propagated(t)
     return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"))
 
 
-@query("mod2o_cascade__intended")
+@query("mod2o_cascade__intended", _cascade_sql(ROUNDS))
 def mod2o_intended(t: Tables):
     terms, history = _propagated(t.kept())
     return propagate.cascade(terms.select("kind", "term"), history, terms.where("kind = 'aspect' and term like '%ing'").select("kind", "term"), terms.where("round = 0"), "intended")
@@ -387,6 +442,19 @@ def tre6(t: Tables):
     return trees.spanning(_nodes(t), spans)
 
 
+@query("chk8_iob_chains", f"""WITH {IN_TREE}, sized AS (SELECT *, count(*) OVER (PARTITION BY sent_id) AS n, count(*) OVER (PARTITION BY sent_id, c) AS m FROM placed)
+SELECT sent_id, idx, CASE WHEN n = 1 THEN 'C' WHEN idx = 0 THEN 'B' WHEN idx = n - 1 THEN 'E' ELSE 'I' END || '-S' || CASE WHEN k IS NULL THEN '' ELSE '/' || CASE WHEN m = 1 THEN 'C' WHEN k = 0 THEN 'B' WHEN k = m - 1 THEN 'E' ELSE 'I' END || '-' || iob[3:] END AS chain FROM sized""")
+def chk8(t: Tables):
+    return trees.iob_chains(_nodes(t))
+
+
+@query("ann13_attached_trees", "SELECT sent_id, idx, word, pos FROM toks")
+def ann13(t: Tables):
+    t = t.kept()
+    df = trees.attached(trees.tree_text(t.toks).withColumn("place", F.lit(0)), t.toks)
+    return df.where("idx is not null").select("sent_id", "idx", "word", "pos")
+
+
 @query("ann6_chunks_of_trees", "SELECT pos, iob, count(*) AS n FROM toks GROUP BY ALL")
 def ann6(t: Tables):
     return trees.chunks_of(trees.tree_text(t.toks)).groupBy("pos", "iob").agg(F.count("*").alias("n"))

@@ -396,6 +396,33 @@ def test_fuzzy_terms(spark):
     assert got == {("goods", "good")}
 
 
+def test_fuzzy_joins_by_brute_force(spark):
+    import random
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, old = [0], row
+            for j, y in enumerate(b):
+                row.append(max(old[j] + 1 if x == y else 0, old[j + 1], row[j]))
+        return 2 * row[-1] / (len(a) + len(b))
+
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abeéQ1") for _ in range(rnd.randint(1, 8))) for _ in range(80)})
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    for least in (0.5, 0.8, 1.0):
+        want = {(a, b) for a in words for b in words if a < b and ratio(a, b) >= least}
+        assert {(r.a, r.b) for r in joins.fuzzy_pairs(w, least).collect()} == want
+
+
+def test_similar_words_count_as_known(spark, toks):
+    t = toks("great/JJ phone/NN", "greatt/JJ case/NN")
+    rels = spark.createDataFrame([(i, 1, 1, "amod", 0) for i in (1, 2)], "sent_id long, rel_id int, head_idx int, label string, dep_idx int")
+    seeds = spark.createDataFrame([("great",)], "term string")
+    found = lambda match: {r.term for r in propagate.propagate(t, rels, seeds, match=match)[0].where("kind = 'aspect'").collect()}
+    assert found(1.0) == {"phone"} and found(0.9) == {"phone", "case"}
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys

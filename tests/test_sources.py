@@ -115,6 +115,21 @@ def test_tree_errors_say_where(text, place):
         trees.parse(text)
 
 
+def test_several_trees_of_a_sentence_are_put_together(spark):
+    given = spark.createDataFrame([(1, 0, "(ROOT (S (NP (NN dogs)) (VP (VBP run))))"), (1, 1, "(ROOT (S (NP (NN cats)) (VP (VBP sit)))"), (2, 0, "(S (NP (NN one)))"), (3, 0, "(S) x")], "sent_id long, place int, tree string")
+    toks = spark.createDataFrame([(1, i, w, "X") for i, w in enumerate(["Dogs", "run", "Cats", "sit"])] + [(2, 0, "One", "Y")], "sent_id long, idx int, word string, pos string")
+    got = trees.attached(given, toks).collect()
+    assert [(r.idx, r.word, r.label) for r in sorted(got, key=lambda r: r.node_id or 0) if r.sent_id == 1 and r.idx is not None] == [(0, "Dogs", "NN"), (1, "run", "VBP"), (2, "Cats", "NN"), (3, "sit", "VBP")]
+    assert [r.label for r in sorted(got, key=lambda r: r.node_id or 0) if r.sent_id == 1 and r.depth < 3] == ["S", "S", "S", "S"]
+    assert not any(r.is_leaf for r in got if r.sent_id != 3) and [r.error for r in got if r.sent_id == 3] == ["at 4: the tree has ended, but more follows"]
+
+
+def test_iob_chains(spark):
+    node = trees.nodes(spark.createDataFrame([(1, TREE)], "sent_id long, tree string"))
+    got = {r.idx: r.chain for r in trees.iob_chains(node).collect()}
+    assert got == {0: "B-S/B-NP", 1: "I-S/E-NP", 2: "I-S/B-VP", 3: "I-S/I-VP/B-NP", 4: "E-S/E-VP/E-NP"}
+
+
 def test_repair():
     assert trees.repair("(S (NP a)") == "(S (NP a))" and trees.repair("(S a))") == "((S a))"
 
