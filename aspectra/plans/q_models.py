@@ -326,9 +326,10 @@ def mod3e(t: Tables):
     return cvalue.groups(cvalue.spans(t.toks)).select("string", "t", "freq", F.size("original").cast("long").alias("surfaces"))
 
 
-@query("mod3e_multiword_terms")
+@query("mod3e_multiword_terms", f"""WITH {SPANS2}, sized AS (SELECT string, t, count(*) AS freq FROM grams GROUP BY ALL), around AS (SELECT g.string, sum(o.t) / count(*) AS mean FROM sized g JOIN sized o ON contains(o.string, g.string) AND o.string <> g.string GROUP BY 1)
+SELECT DISTINCT surface, string, round(ln(sized.t) * freq * coalesce(mean, 1), 6) AS cvalue FROM grams JOIN sized USING (string) LEFT JOIN around USING (string)""")
 def mod3e_terms(t: Tables):
-    return cvalue.terms(t.toks)
+    return cvalue.terms(t.toks).withColumn("cvalue", F.round("cvalue", 6))
 
 
 @query("mod3f_importance", f"WITH {PAIRS}, df AS (SELECT lemma AS term, count(DISTINCT sent_id) AS df, count(DISTINCT review_id) AS reviews FROM toks WHERE lemma IN (SELECT nn FROM pairs) GROUP BY 1) SELECT term, round(df * ln((SELECT count(*) FROM documents) / greatest(reviews, 1)), 9) AS importance FROM df")

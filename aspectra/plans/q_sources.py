@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aspectra.operators import running
 from aspectra.plans.registry import Tables, query
-from aspectra.sources import lexicons, readers, reviews
+from aspectra.sources import lexicons, readers, reviews, trees
 
 SCANNED = """
 kinds AS (SELECT *, CASE WHEN line = '' OR line LIKE '*%' THEN 'comment' WHEN contains(line, '[t]') THEN 'title' ELSE 'sentence' END AS kind FROM lines),
@@ -105,6 +105,19 @@ def src19(t: Tables):
     return found.select("reply_id", "idx", F.get("fields", F.lit(0)).alias("word"), F.get("fields", F.lit(3)).alias("pos"), F.get("fields", F.lit(4)).alias("lemma"))
 
 
+@query("src22_semantic_roles", """WITH v AS (SELECT sent_id, min(idx) AS v, arg_min(lemma, idx) AS verb FROM toks WHERE pos = 'VB' GROUP BY 1)
+SELECT sent_id, verb, CASE WHEN idx < v THEN 'A0' ELSE 'A1' END AS role, string_agg(word, ' ' ORDER BY idx) AS words FROM toks JOIN v USING (sent_id) WHERE idx <> v GROUP BY ALL""")
+def src22(t: Tables):
+    t = t.kept()
+    first = t.toks.where("pos = 'VB'").groupBy("sent_id").agg(F.min("idx").alias("v"), F.min_by("lemma", "idx").alias("verb"))
+    df = t.toks.join(first, "sent_id").join(t.toks.groupBy("sent_id").agg(F.max("idx").alias("z")), "sent_id")
+    begin, end = F.when(F.col("idx") < F.col("v"), 0).otherwise(F.col("v") + 1), F.when(F.col("idx") < F.col("v"), F.col("v") - 1).otherwise(F.col("z"))
+    mark = F.when(begin == end, "S").when(F.col("idx") == begin, "B").when(F.col("idx") == end, "E").otherwise("I")
+    tag = F.when(F.col("idx") == F.col("v"), "O").otherwise(F.concat_ws("-", mark, F.when(F.col("idx") < F.col("v"), "A0").otherwise("A1")))
+    roles = trees.semantic_roles(df.select("sent_id", "verb", "idx", "word", tag.alias("tag")))
+    return roles.select("sent_id", "verb", F.explode("roles").alias("role", "words"))
+
+
 @query("src24_tree_repair", """WITH b AS (SELECT doc_id, '(S ' || text || repeat(')', (doc_id % 4)::INT) AS tree FROM documents), c AS (SELECT *, length(tree) - length(replace(tree, '(', '')) AS l, length(tree) - length(replace(tree, ')', '')) AS r FROM b)
 SELECT doc_id, CASE WHEN l > r THEN tree || repeat(')', l - r) WHEN r > l THEN repeat('(', r - l) || tree ELSE tree END AS tree FROM c""")
 def src24(t: Tables):
