@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, map_arrow, saved
+from .common import dropped, map_arrow, saved, swept
 
-NEIGHBOURS, ROUNDS = 16, 4
+NEIGHBOURS, ROUNDS = 24, 3
 BLOCK, DEALS, PLANES = 128, 3, 16
-BEAM, WIDTH, STEPS = 96, 16, 8
+BEAM, WIDTH, STEPS = 384, 64, 8
 
 
 def usable(vector: Column) -> Column:
@@ -170,6 +170,9 @@ def _round(graph: DataFrame, base: DataFrame) -> DataFrame:
                 x = _unpack([x["packed"] for x in near])
                 s = x @ x.T
                 np.fill_diagonal(s, -9)
+                if len(ids) > NEIGHBOURS + 1:
+                    # more than NEIGHBOURS of these no node can keep
+                    least = np.maximum(least, np.nextafter(np.partition(s, -NEIGHBOURS, 1)[:, -NEIGHBOURS], -10))
                 i, j = np.nonzero(s > least[:, None])
                 out.append((ids[i], ids[j], s[i, j]))
             if out:
@@ -196,6 +199,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     for _ in range(rounds):
         before, graph = graph, saved(_round(graph, base), "ann-graph")
         dropped(before)
+        swept(base.sparkSession)
     edges = saved(_both_ways(graph).groupBy("u").agg(F.collect_list("v").alias("near")), "ann-edges")
     dropped(graph)
     return Index(base, node.select("id", "vector"), edges, member)
@@ -257,6 +261,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
         fresh = state.select("query", "seen").join(near, "query").select("query", F.explode(F.array_except("near", "seen")).alias("v"))
         before, state = state, saved(_advance(state, fresh.join(vectors, "v"), beam, width), "ann-state")
         dropped(before)
+        swept(state.sparkSession)
     most = k + 3
     best = state.select("query", F.explode(F.slice("at", 1, most)).alias("id")).join(index.vectors, "id").join(asked.select(F.col("id").alias("query"), F.col("vector").alias("asked")), "query")
     scored = map_arrow(best.select("query", "id", "vector", "asked"), _scored, "query long, id long, score double")

@@ -258,14 +258,15 @@ def test_rounds_and_steps_find_what_blocks_do_not(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {q: {int(j) for j in np.argsort(-(x @ x[q]), kind="stable")[1:6]} for q in range(0, 10_000, 100)}
 
-    def recall(rounds, steps):
+    def recall(rounds, steps, **narrow):
         got = defaultdict(set)
-        for r in ann.search(ann.build(df, rounds=rounds), asked, steps=steps).collect():
+        for r in ann.search(ann.build(df, rounds=rounds), asked, steps=steps, **narrow).collect():
             got[r.query_id].add(r.vec_id)
             assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]))
         return np.mean([len(got[q] & want[q]) / 5 for q in want])
 
-    best, quick, unbuilt, unsearched = recall(ann.ROUNDS, ann.STEPS), recall(ann.ROUNDS, 2), recall(0, 2), recall(ann.ROUNDS, 0)
+    few = {"beam": 96, "width": 16}
+    best, quick, unbuilt, unsearched = recall(ann.ROUNDS, ann.STEPS), recall(ann.ROUNDS, 2, **few), recall(0, 2, **few), recall(ann.ROUNDS, 0)
     assert best >= 0.9 and unbuilt < quick - 0.05 and unsearched < quick - 0.1, (best, quick, unbuilt, unsearched)
 
 
