@@ -276,9 +276,7 @@ def classes_by_any(docs: DataFrame, measures: list[Measure], text_col: str = "te
         old.append(tie := saved(tie, "ties"))
         links = tie if links is None else links.unionByName(tie)
     for turn in range(turns):
-        pairs = saved(_pivot_pairs(_split(entry, part), turn, measures), "pairs")
-        found = saved(_confirmed(pairs, full, measures), "confirmed")
-        dropped(pairs)
+        found = saved(_confirmed(_pivot_pairs(_split(entry, part), turn, measures), full, measures), "confirmed")
         swept(spark)
         old.append(found)
         if found.isEmpty() and (turn or links is None):
@@ -293,9 +291,8 @@ def classes_by_any(docs: DataFrame, measures: list[Measure], text_col: str = "te
         large = saved(member.where(F.col("c") > bucket).select("id", "component").distinct(), "rest-large")
         if not large.isEmpty():
             pairs = pairs.unionByName(_prefix_pairs(full, large, measures)).distinct()
-        pairs = saved(pairs, "rest-pairs")
         found = saved(_confirmed(pairs, full, measures), "rest-links")
-        old += [large, pairs, found]
+        old += [large, found]
         if not found.isEmpty() or (part is None and links is not None):
             old.append(part)
             part = saved(components(found if links is None else links.unionByName(found)), "components")
