@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, saved, sliced, with_fields
+from .common import dropped, map_arrow, saved, sliced, swept, with_fields
 from .textkernel import BLANK, mix, slices, words
 
 MIN_TOKENS, LEADING = 4, 3
@@ -136,12 +136,17 @@ def drop_lines(docs: DataFrame, text_col: str = "text", short: bool = False, var
     lines = saved(_lines(df, text_col, 1 if short else MIN_TOKENS), "lines")
     stats = saved(lines.groupBy("leaf", *_KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n")), "templates")
     recurring = stats.where("first <> last").select(*_KEY, "first")
+    general = None
     if variable:
         general = _generalised(lines, stats.where(F.col("n") >= MIN_TOKENS).select("leaf", *_KEY, "first", "last"))
         # a template that recurs both ways goes but for the first document of all
         recurring = recurring.unionByName(general).groupBy(*_KEY).agg(F.min("first").alias("first"))
+    swept(df.sparkSession)
     keys = ["__aspectra_doc", "__aspectra_text"]
     gone = lines.select("doc", "text", "line", *_KEY).join(recurring, _KEY).where("doc <> first").groupBy(F.col("doc").alias(keys[0]), F.col("text").alias(keys[1])).agg(F.collect_set("line").alias("__aspectra_drop"))
+    gone = saved(gone, "gone")
+    dropped(lines, stats, general)
+    swept(df.sparkSession)
     out = _keyed(df, text_col).join(gone, keys, "left").drop(*keys)
     kind = with_fields(df, "n_lines long, n_dropped long")
     kind[text_col].nullable = True

@@ -23,6 +23,7 @@ id has the same set. Rows and columns stay, and columns n_shingles, component_id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -248,8 +249,9 @@ def classes(docs: DataFrame, text_col: str = "text", size: int = 3, percent: int
 def classes_by_any(docs: DataFrame, measures: list[Measure], text_col: str = "text", bucket: int = BUCKET, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, linked where any of the measures links; n_shingles is the first measure's."""
     spark = docs.sparkSession
+    swept(spark)
     rows = saved(_sketch(docs, text_col, measures), "sketch")
-    groups, entry = [], None
+    groups, buckets = [], []
     for m in range(len(measures)):
         one = rows.select("doc_id", F.col(f"n{m}").alias("n"), F.col(f"k{m}").alias("k1"), F.col(f"l{m}").alias("k2"), F.col(f"keys{m}").alias("keys"))
         group = one.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -258,9 +260,10 @@ def classes_by_any(docs: DataFrame, measures: list[Measure], text_col: str = "te
         # equal rows of one doc_id give the same keys
         own = one.join(group.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "n", "k1", "k2"])
         some = own.select(F.col("doc_id").alias("id"), F.lit(m).alias("m"), "n", F.explode("keys").alias("key"))
-        entry = some if entry is None else entry.unionByName(some)
-    many = entry.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    entry = saved(entry.join(many, "key"), "buckets")
+        many = some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        buckets.append(saved(some.join(many, "key"), "buckets"))
+        swept(spark)
+    entry = reduce(DataFrame.unionByName, buckets)
     full = saved(_full_sets(docs, entry.select("id").distinct(), text_col, measures), "sets")
     swept(spark)
 
@@ -298,7 +301,7 @@ def classes_by_any(docs: DataFrame, measures: list[Measure], text_col: str = "te
             part = saved(components(found if links is None else links.unionByName(found)), "components")
     elif part is None and links is not None:
         part = saved(components(links), "components")
-    dropped(entry, full, member, *old)
+    dropped(*buckets, full, member, *old)
     swept(spark)
     out = of_group(rows.select("doc_id", "n0", "k0", "l0"), 0, "rep")
     if part is None:
