@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from aspectra.sources import lexicons, readers, reviews, trees
 
@@ -155,3 +156,45 @@ def test_semantic_roles(spark):
     rows = [(1, "eat", 0, "Dogs", "S-A0"), (1, "eat", 1, "eat", "S-V"), (1, "eat", 2, "raw", "B-A1"), (1, "eat", 3, "meat", "E-A1"), (1, "eat", 4, "now", "O")]
     got = trees.semantic_roles(spark.createDataFrame(rows, "sent_id long, verb string, idx int, word string, tag string")).first()
     assert got.roles == {"A0": "Dogs", "V": "eat", "A1": "raw meat"}
+
+
+def test_node_tables_of_a_batch_are_those_of_each_tree():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+
+    def some(depth):
+        inside = [some(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["dog", "a", "zz9"]) for _ in range(rng.randint(0, 3))]
+        return f"({rng.choice(['NP', 'S', 'VP-X'])}{rng.choice([' ', chr(10)])}{'  '.join(inside)})"
+
+    texts = [some(rng.randint(0, 5)) for _ in range(500)] + ["", "x", "(a", "a)", ")(", "(a) b", "(a)(b)", "(S \u00e9)", " (S a) ", "()", "(())", "( (a b))", "(S " * 3000 + "a" + ")" * 3000]
+    names, read = [*trees._FIELDS, "idx"], lambda t: trees.parse(trees.repair(t))
+    got: dict = {}
+    for b in trees._read(pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(texts), names, read):
+        for i, r in zip(b.column(0).to_pylist(), b.select(names).to_pylist(), strict=True):
+            got.setdefault(i, []).append(r)
+    for i, t in enumerate(texts[:-1]):
+        try:
+            want = trees._one(read(t), names)
+        except trees.TreeError as e:
+            want = [dict.fromkeys(names) | {"error": str(e)}]
+        assert got[i] == want, t
+    assert len(got[len(texts) - 1]) == 3001 and got[len(texts) - 1][0]["height"] == 3001  # deeper than Python's stack, which failed
+
+
+def test_trees_are_read_and_used_without_joins(spark):
+    """Node tables have no size that Spark knows: it took them for small and sent them to the driver."""
+    node = trees.nodes(spark.createDataFrame([(1, TREE)], "sent_id long, tree string"))
+    span = spark.createDataFrame([(1, 3, 5)], "sent_id long, start int, stop int")
+    for df in (trees.leaves(node), trees.iob_chains(node), trees.spanning(node, span), trees.attached(node.limit(0).select("sent_id", F.lit(0).alias("place"), F.lit("").alias("tree")), node.select("sent_id", "node_id", F.lit("").alias("word"), F.lit("").alias("pos")).withColumnRenamed("node_id", "idx"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    words = trees.nodes(spark.createDataFrame([(1, "(S word (NN dog))")], "sent_id long, tree string"))
+    assert {r.idx: r.chain for r in trees.iob_chains(words).collect()} == {1: "E-S"}  # a word right below the root has no phrase above a part of speech
+
+
+def test_tree_text_of_chunks(spark):
+    rows = [("DT", "the", "B-NP"), ("NN", "dog", "I-NP"), ("VB", "bit", "I-VP"), ("CC", "and", "O"), ("XX", "so", "O"), ("NN", "cat", "I-NP"), ("NN", "mat", "B-NP")]
+    toks = spark.createDataFrame([(1, k, w, p, i) for k, (p, w, i) in enumerate(rows)], "sent_id long, idx int, word string, pos string, iob string")
+    assert trees.tree_text(toks).first().tree == "(S (NP (DT the) (NN dog)) (VP (VB bit)) (CC and) (XX so) (NP (NN cat)) (NP (NN mat)))"
