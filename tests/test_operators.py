@@ -430,3 +430,36 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_contained_sets_meet_at_their_rarest_item(spark):
+    """A common item joined all its sets with all its sentences."""
+    import random
+
+    rng = random.Random(5)
+    baskets = [{"common", *rng.sample("abcdefghij", rng.randint(0, 4))} for _ in range(60)] + [set("abcdefghijklmnop")]
+    sets = {"+".join(sorted(x)): x for x in [{"common"}, {"a"}, {"z"}, {"a", "z"}, {"common", "z"}, *({"common", *rng.sample("abcdefghij", k)} for k in (1, 1, 2, 3, 3)), {"a", "b"}]}
+    pairs = lambda d: [(k, i) for k, v in d.items() for i in v]
+    df = spark.createDataFrame(pairs(sets), "set_id string, item string")
+    tx = spark.createDataFrame(pairs(dict(enumerate(baskets))), "sent_id int, item string")
+    got = [tuple(r) for r in joins.contained_sets(df, tx).select("set_id", "sent_id").collect()]
+    assert sorted(got) == sorted((k, n) for k, v in sets.items() for n, b in enumerate(baskets) if v <= b)
+    over = lambda strict: sorted((r.set_id, r.other) for r in joins.supersets(df, strict).collect())
+    assert over(True) == over(False) == sorted((a, b) for a, x in sets.items() for b, y in sets.items() if x < y)
+    each = spark.range(30000).select(F.col("id").cast("string").alias("set_id"))
+    many = each.select("set_id", F.explode(F.array(F.lit("common"), F.concat(F.lit("own"), "set_id"))).alias("item"))  # 900 million pairs share the common item
+    assert joins.supersets(many, strict=False).count() == 0
+
+
+def test_infrequent_nouns_against_brute_force(spark, toks):
+    t = toks("good/JJ phone/NN bad/JJ case/NN", "case/NN good/NN x/XX good/JJ", "a/XX good/JJ b/XX phone/NN", "bad/JJ", "phone/NN good/JJ case/NN")
+    occ = spark.createDataFrame([("none", 99)], "set_id string, sent_id long")
+    adj, stop = spark.createDataFrame([("good",)], "word string"), spark.createDataFrame([], "word string")
+    rows = {}
+    for r in t.collect():
+        rows.setdefault(r.sent_id, []).append(r)
+    want = set()
+    for found in rows.values():
+        near = [(abs(n.idx - a.idx), a.idx, n.idx, n.lemma) for a in found if a.lemma == "good" for n in found if n.pos.startswith("NN")]
+        want |= {min(near)[3].lower()} if near else set()
+    assert {r.set_id for r in itemsets.infrequent(t, occ, adj, stop, "intended").collect()} == want
