@@ -463,3 +463,28 @@ def test_infrequent_nouns_against_brute_force(spark, toks):
         near = [(abs(n.idx - a.idx), a.idx, n.idx, n.lemma) for a in found if a.lemma == "good" for n in found if n.pos.startswith("NN")]
         want |= {min(near)[3].lower()} if near else set()
     assert {r.set_id for r in itemsets.infrequent(t, occ, adj, stop, "intended").collect()} == want
+
+
+def test_allowed_pairs_are_those_of_all_pairs(toks):
+    t = toks("good/JJ phone/NN bad/JJ phone/NN", "good/JJ case/NN", "good/JJ case/NN").select("sent_id", "idx", "word", "pos")
+    pair, words = align.allowed_pairs(t)
+    every = align.pairs(t)
+    cols = ["sent_id", "j", "e", "i", "f", "l", "m", "k"]
+    assert sorted(map(tuple, pair.select(cols).collect())) == sorted(map(tuple, every.where("k > 0").select(cols).collect()))
+    assert sorted(map(tuple, words.select("e", "f", "c").collect())) == sorted(map(tuple, align.initial(every).select("e", "f", "c").collect()))
+
+
+def test_ngrams_do_not_carry_their_sentence(toks):
+    t = toks("The/DT dog/NN of/IN the/DT house/NN", "one/XX", " ".join(["a/DT"] * 30000))
+    got = cvalue.ngrams(t, 2, 3)
+    assert sorted((r.start, r.surface) for r in got.where("sent_id = 1").collect()) == sorted((i, "The dog of the house".split()[i : i + n]) for n in (2, 3) for i in range(6 - n))
+    assert got.where("sent_id = 2").count() == 0 and got.where("sent_id = 3").count() == 59997
+
+
+def test_spans_of_a_long_sentence(toks):
+    """Each span met all tokens of its sentence: 10,000 spans and 30,000 tokens."""
+    t = toks(" ".join(["Big/JJ house/NN x/XX"] * 10000), "a/NN b/NNPS c/NNP")
+    got = cvalue.spans(t, 2)
+    assert got.where("sent_id = 1").count() == 10000
+    assert [(r.start, r.stop, r.key, r.surface) for r in got.where("sent_id = 1 and start = 3").collect()] == [(3, 5, ["big", "house"], ["Big", "house"])]
+    assert [(r.start, r.stop, r.surface) for r in got.where("sent_id = 2").collect()] == [(0, 2, ["a", "b"])]
