@@ -488,3 +488,39 @@ def test_spans_of_a_long_sentence(toks):
     assert got.where("sent_id = 1").count() == 10000
     assert [(r.start, r.stop, r.key, r.surface) for r in got.where("sent_id = 1 and start = 3").collect()] == [(3, 5, ["big", "house"], ["Big", "house"])]
     assert [(r.start, r.stop, r.surface) for r in got.where("sent_id = 2").collect()] == [(0, 2, ["a", "b"])]
+
+
+def test_candidates_find_what_each_rule_finds(spark, toks):
+    import random
+
+    from aspectra.operators.text import RULE_JJ, RULE_NN
+
+    r = random.Random(7)
+    pos, words = {}, [(s, i, r.choice("abcdef"), r.choice([*RULE_NN, *RULE_JJ, "VB"])) for s in range(12) for i in range(7)]
+    for s, i, w, p in words:
+        pos[s, i] = (w, p)
+    rows = [(s, n, r.choice([-1, *range(7)]), r.choice(["amod", "nsubj", "dobj", "conj_and", "root", "prep_of", "xsubj"]), r.randrange(7)) for s in range(12) for n in range(9)]
+    t = spark.createDataFrame(words, "sent_id long, idx int, lemma string, pos string")
+    rels = spark.createDataFrame(rows, "sent_id long, rel_id int, head_idx int, label string, dep_idx int")
+    with_words = spark.createDataFrame([(*x, *pos.get((x[0], x[2]), (None, None)), *pos[x[0], x[4]]) for x in rows], rels._jdf.schema().toDDL() + ", h_term string, h_pos string, d_term string, d_pos string")
+    edges = propagate.labelled(t, rels).localCheckpoint()
+    sib, known = propagate.sibling_edges(edges), spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    own = propagate.labelled(t, with_words)
+    assert "Join" not in own._jdf.queryExecution().toString()
+    for e in (edges, own):
+        found = propagate.candidates(e).where("origin in ('a', 'b', 'c')").select("kind", "rule", "sent_id", "term", "idx", "origin", "origin_idx").localCheckpoint()
+        assert found.select("rule").distinct().count() == 8
+        for rule in propagate.ORDER:
+            want = sorted(map(tuple, propagate.apply_rule(rule, edges, sib, known).collect()))
+            assert sorted(map(tuple, found.where(F.col("rule") == rule).collect())) == want
+
+
+def test_edges_come_with_their_words(spark):
+    from aspectra.sources import bridge
+
+    docs = spark.createDataFrame([(0, "s", "The visible nations considered trees and useless houses walked"), (1, "s", "usable and capable tables of walking cats"), (2, "s", "a b"), (3, "s", None)], "doc_id long, source string, text string")
+    sents = bridge.sentences(docs)
+    toks = bridge.tokens(sents)
+    cols = ["sent_id", "h", "l", "d", "rel_id", "h_term", "h_pos", "d_term", "d_pos"]
+    got = propagate.labelled(toks, bridge.edges(sents)).select(cols).collect()
+    assert len(got) > 5 and sorted(map(str, got)) == sorted(map(str, propagate.labelled(toks, bridge.rels(toks)).select(cols).collect()))
