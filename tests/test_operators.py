@@ -524,3 +524,15 @@ def test_edges_come_with_their_words(spark):
     cols = ["sent_id", "h", "l", "d", "rel_id", "h_term", "h_pos", "d_term", "d_pos"]
     got = propagate.labelled(toks, bridge.edges(sents)).select(cols).collect()
     assert len(got) > 5 and sorted(map(str, got)) == sorted(map(str, propagate.labelled(toks, bridge.rels(toks)).select(cols).collect()))
+
+
+def test_history_has_each_finding_once(spark, toks):
+    t = toks("good/JJ phone/NN", "fine/JJ phone/NN", "fine/JJ case/NN", "good/JJ phone/NN")
+    rels = spark.createDataFrame([(s, 1, 1, "amod", 0) for s in (1, 2, 3, 4)], "sent_id long, rel_id int, head_idx int, label string, dep_idx int")
+    seeds = spark.createDataFrame([("good",)], "term string")
+    terms, history = propagate.propagate(t, rels, seeds)
+    rows = history.select("rule", "sent_id", "idx", "origin", "round").collect()
+    assert len(rows) == len({x[:4] for x in rows}) and {(x[1], x[4]) for x in rows if x[0] == "1_1"} == {(1, 1), (4, 1), (2, 2), (3, 2)}
+    words, sources = propagate.spread(t, rels, seeds)
+    assert sorted(words.collect()) == sorted(terms.collect())
+    assert sorted(sources.collect()) == sorted(history.select(sources.columns).distinct().collect())
