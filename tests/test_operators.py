@@ -536,3 +536,24 @@ def test_history_has_each_finding_once(spark, toks):
     words, sources = propagate.spread(t, rels, seeds)
     assert sorted(words.collect()) == sorted(terms.collect())
     assert sorted(sources.collect()) == sorted(history.select(sources.columns).distinct().collect())
+
+
+def test_orientations_run_over_pairs_of_words(spark, toks, monkeypatch):
+    from aspectra.functions.lineage import saved
+
+    t = toks(*["good/JJ phone/NN not/RB fine/JJ case/NN", "not/RB good/JJ case/NN", "a/X b/X c/X d/X e/X f/X not/RB good/JJ phone/NN"] * 7)
+    rels = spark.createDataFrame([(s, i, i + 1, "amod", i) for s in range(1, 22) for i in ((0, 3), (1,), (7,))[(s - 1) % 3]], "sent_id long, rel_id int, head_idx int, label string, dep_idx int")
+    seeds = spark.createDataFrame([("good", 1.0)], "term string, orientation double")
+    _, history = propagate.propagate(t, rels, seeds.select("term"))
+    rows = {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(propagate, "saved", counted)
+    for mode, want in (("reference", {"good": 1.0, "phone": -1.0, "case": -1.0, "fine": -1.0}), ("intended", {"good": 1.0, "phone": -1.0, "case": -1.0, "fine": 1.0})):
+        got = {r.term: r.orientation for r in propagate.orientations(history, seeds, t, mode=mode).collect()}
+        assert rows["turned"] <= 6 and "first" not in rows
+        assert {k: v for k, v in got.items() if k != "fine"} == {k: v for k, v in want.items() if k != "fine"}
