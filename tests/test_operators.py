@@ -557,3 +557,24 @@ def test_orientations_run_over_pairs_of_words(spark, toks, monkeypatch):
         got = {r.term: r.orientation for r in propagate.orientations(history, seeds, t, mode=mode).collect()}
         assert rows["turned"] <= 6 and "first" not in rows
         assert {k: v for k, v in got.items() if k != "fine"} == {k: v for k, v in want.items() if k != "fine"}
+
+
+def test_phrase_pruning_deals_words_once(spark):
+    import random
+
+    r = random.Random(3)
+    some = ["compare", "to", "with", "better", "worse", "than", "shop", "buy", "from", "x"]
+    sents = [[(r.choice(some), r.choice(["NN", "NNS", "XX"])) for _ in range(r.randint(1, 14))] for _ in range(80)]
+    t = spark.createDataFrame([(s, i, w, p) for s, x in enumerate(sents) for i, (w, p) in enumerate(x)], "sent_id long, idx int, lemma string, pos string")
+    gone = set()
+    for s, x in enumerate(sents):
+        nouns = [i for i, (_, p) in enumerate(x) if p.startswith("NN")]
+        for phrases, after in ((propagate.PRODUCT_PHRASES, True), (propagate.DEALER_PHRASES, False)):
+            for p in phrases:
+                at = next((i for i in range(len(x) - len(p) + 1) if all(w is None or x[i + k][0] == w for k, w in enumerate(p))), None)
+                near = [] if at is None else [i for i in nouns if i >= at + len(p)][:1] if after else [i for i in nouns if i < at][-1:]
+                gone |= {(s, i) for i in near}
+    occ = t.where("pos like 'NN%'").select(F.col("lemma").alias("term"), "sent_id", "idx")
+    left = propagate.phrase_pruning(occ, t, "intended")
+    assert {(x.sent_id, x.idx) for x in left.collect()} == {(s, i) for s, x in enumerate(sents) for i, (_, p) in enumerate(x) if p.startswith("NN")} - gone
+    assert len(gone) > 20 and left._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 6
