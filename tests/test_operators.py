@@ -600,3 +600,14 @@ def test_regroup_by_brute_force(spark, mode):
     got = windows.regroup(t, spark.createDataFrame(sorted(spans), "sent_id long, start int, stop int"), mode)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_nearest_nouns_need_no_join(spark, toks):
+    from types import SimpleNamespace
+
+    from aspectra.plans.q_aggregates import _pairs
+
+    t = toks("Good/JJ phone/NN x/X bad/JJ", "x/X Good/JJ phone/NN", "bad/JJ x/X")
+    got = _pairs(SimpleNamespace(toks=t))
+    assert sorted(map(tuple, got.collect())) == [("phone", "bad", 1), ("phone", "good", 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
